@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from reportlake.llm.kernels import U, groups_of, mix
@@ -22,9 +23,11 @@ from reportlake.llm.kernels import U, groups_of, mix
 #: Packed columns of an entry. x holds what an operator needs beside the position.
 FIELDS = {"k": np.uint64, "d": np.int64, "t": np.int16, "p": np.int32, "x": np.int32}
 PACKED = "bucket int, known boolean, " + ", ".join(f"{f} binary" for f in FIELDS)
-FOUND = "doc long, tag int, kind int, p binary, x binary"
+FOUND = "kind int, part int, d binary, t binary, p binary, x binary"
+PLACES = "doc long, tag int, p binary, x binary"
 _PACKED = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), *[(f, pa.binary()) for f in FIELDS]])
-_FOUND = pa.schema([("doc", pa.int64()), ("tag", pa.int32()), ("kind", pa.int32()), ("p", pa.binary()), ("x", pa.binary())])
+_FOUND = pa.schema([("kind", pa.int32()), ("part", pa.int32()), *[(f, pa.binary()) for f in "dtpx"]])
+_PLACES = pa.schema([("doc", pa.int64()), ("tag", pa.int32()), ("p", pa.binary()), ("x", pa.binary())])
 
 Entries = dict[str, np.ndarray]
 
@@ -73,30 +76,39 @@ def unpack(table: pa.Table) -> Entries:
     return {f: unpacked(table.column(f), kind) for f, kind in FIELDS.items()}
 
 
-def found(e: Entries, kind: int) -> pa.RecordBatch:
-    """Positions by document, one row each."""
-    order = np.lexsort((e["p"], e["t"], e["d"]))
-    e = take(e, order)
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (e["d"][1:] != e["d"][:-1]) | (e["t"][1:] != e["t"][:-1])
-    starts = np.flatnonzero(new)
+def found(e: Entries, kind: int, parts: int) -> pa.RecordBatch:
+    """Positions, one row for each of ``parts`` parts of the documents."""
+    part = (mix(e["d"].astype(U) + U(5)) % U(parts)).astype(np.int32)
+    order = np.lexsort((e["p"], e["t"], e["d"], part))
+    part, e = part[order], take(e, order)
+    starts, _ = groups_of(part)
     cuts = np.append(starts, len(order))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(e["d"][starts], pa.int64()),
-            pa.array(e["t"][starts].astype(np.int32)),
-            pa.array(np.full(len(starts), kind, dtype=np.int32)),
-            _cut(e["p"].astype(np.int32), cuts),
-            _cut(e["x"].astype(np.int32), cuts),
-        ],
-        schema=_FOUND,
-    )
+    columns = [pa.array(np.full(len(starts), kind, dtype=np.int32)), pa.array(part[starts])]
+    return pa.RecordBatch.from_arrays(columns + [_cut(e[f].astype(FIELDS[f], copy=False), cuts) for f in "dtpx"], schema=_FOUND)
 
 
 def no_found() -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([], type=f.type) for f in _FOUND], schema=_FOUND)
 
 
+def _by_document(table: pa.Table) -> pa.Table:
+    e = {f: unpacked(table.column(f), FIELDS[f]) for f in "dtpx"}
+    if not len(e["d"]):
+        return _PLACES.empty_table()
+    e = take(e, np.lexsort((e["p"], e["t"], e["d"])))
+    new = np.ones(len(e["d"]), dtype=bool)
+    new[1:] = (e["d"][1:] != e["d"][:-1]) | (e["t"][1:] != e["t"][:-1])
+    starts = np.flatnonzero(new)
+    cuts = np.append(starts, len(new))
+    columns = [pa.array(e["d"][starts], pa.int64()), pa.array(e["t"][starts].astype(np.int32))]
+    return pa.Table.from_arrays(columns + [_cut(e["p"], cuts), _cut(e["x"], cuts)], schema=_PLACES)
+
+
+def places(rows: DataFrame) -> DataFrame:
+    """``FOUND`` rows brought together: one row per document, its positions in order."""
+    return rows.select("part", "d", "t", "p", "x").groupBy("part").applyInArrow(_by_document, PLACES)
+
+
 def combine_any(e: Entries) -> tuple[Entries, Entries]:
     """For fingerprints that count when they occur twice anywhere.
 
@@ -124,7 +136,7 @@ def settle_any(e: Entries) -> Entries:
 def repeated(
     rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[Entries]], buckets: int
 ) -> DataFrame:
-    """``FOUND`` rows with the positions whose fingerprint occurs at least twice in ``rows``."""
+    """``FOUND`` rows of the positions whose fingerprint occurs at least twice in ``rows``."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,15 +147,9 @@ def repeated(
 
     def settle(table: pa.Table) -> pa.Table:
         known = table.column("known")
-        e = settle_any(unpack(table.filter(known_not(known))))
+        e = settle_any(unpack(table.filter(pc.invert(known))))
         k = unpack(table.filter(known))
         both = {f: np.concatenate([e[f], k[f]]) for f in FIELDS}
-        return pa.Table.from_batches([found(both, 0) if len(both["k"]) else no_found()])
+        return pa.Table.from_batches([found(both, 0, buckets) if len(both["k"]) else no_found()])
 
     return rows.mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(settle, FOUND)
-
-
-def known_not(known):
-    import pyarrow.compute as pc
-
-    return pc.invert(known)

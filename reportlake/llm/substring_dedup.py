@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.llm.kernels import Words, mix, ranges, text_blocks, word_prefix
-from reportlake.llm.repeats import Entries, repeated, unpacked
+from reportlake.llm.kernels import Words, mix, text_blocks, word_prefix
+from reportlake.llm.repeats import Entries, places, repeated
 from reportlake.llm.shared import bucket_count, documents_of, materialize, named_id
 
 #: A perfect difference cover: every difference modulo 21 occurs. Fixed values.
@@ -63,7 +63,7 @@ def window_entries(window: int):
             w = Words(buf, offs)
             near = np.zeros(len(w.doc) + PERIOD + 1, dtype=np.int32)
             for row in range(i, j):
-                p = np.unique(unpacked(anchors[row].values, np.int32)).astype(np.int64)
+                p = np.unique(np.frombuffer(anchors[row].as_buffer(), dtype=np.int32)).astype(np.int64)
                 last = w.first[row - i] + w.count[row - i] - window
                 lo = w.first[row - i] + np.maximum(p - (PERIOD - 1), 0)
                 hi = np.minimum(w.first[row - i] + p, last)
@@ -92,7 +92,7 @@ def _keep(window: int, digest: bool):
                 gone = np.zeros(len(w.doc) + 1, dtype=np.int32)
                 for row in range(i, j):
                     if starts[row].is_valid:
-                        s = w.first[row - i] + np.unique(unpacked(starts[row].values, np.int32)).astype(np.int64)
+                        s = w.first[row - i] + np.unique(np.frombuffer(starts[row].as_buffer(), dtype=np.int32)).astype(np.int64)
                         np.add.at(gone, s, 1)
                         np.add.at(gone, s + window, -1)
                 gone = np.cumsum(gone)[:-1] > 0
@@ -112,7 +112,7 @@ def _keep(window: int, digest: bool):
 
 
 def repeated_windows(docs: DataFrame, window: int = 35) -> DataFrame:
-    """``(doc, tag, starts array<binary>)``: word positions where a window that occurs twice starts.
+    """``(doc, tag, starts binary)``: word positions, packed, where a window that occurs twice starts.
 
     ``docs`` is ``documents_of`` of a table.  Windows are counted over the whole
     input, within a document too.
@@ -120,10 +120,9 @@ def repeated_windows(docs: DataFrame, window: int = 35) -> DataFrame:
     if window < PERIOD + 4:
         raise ValueError(f"a window has at least {PERIOD + 4} words")
     anchors = materialize(repeated(docs, anchor_entries(window), bucket_count(docs, 8)), "anchors")
-    near = anchors.groupBy("doc", "tag").agg(F.collect_list("p").alias("anchors"))
-    regions = docs.join(near, ["doc", "tag"])
+    regions = docs.join(places(anchors).select("doc", "tag", F.col("p").alias("anchors")), ["doc", "tag"])
     windows = materialize(repeated(regions, window_entries(window), bucket_count(docs, 8)), "windows")
-    return windows.groupBy("doc", "tag").agg(F.collect_list("p").alias("starts"))
+    return places(windows).select("doc", "tag", F.col("p").alias("starts"))
 
 
 def remove_repeats(

@@ -27,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportlake.llm.kernels import BLOCK_BYTES, Prefix, U, groups_of, mix, ranges, sliding_min, text_blocks, text_of
-from reportlake.llm.repeats import FIELDS, FOUND, PACKED, Entries, _cut, _PACKED, found, no_found, pack, take, unpack, unpacked
+from reportlake.llm.repeats import FIELDS, FOUND, PACKED, Entries, _cut, _PACKED, found, no_found, pack, places, take, unpack, unpacked
 from reportlake.llm.shared import bucket_count, documents_of, materialize, named_id
 
 #: First bytes by which a sampled suffix is chosen and grouped.
@@ -192,20 +193,18 @@ def _with_grams(e: Entries, g: np.ndarray, known: bool, buckets: int) -> Iterato
     yield pa.RecordBatch.from_arrays(columns, schema=_PACKED.append(pa.field("g", pa.binary())))
 
 
-def _settle_samples(table: pa.Table) -> pa.Table:
+def _settle_samples(table: pa.Table, buckets: int) -> pa.Table:
     """Covered where a smaller document has the same text; an edge where it only begins alike."""
-    import pyarrow.compute as pc
-
     known = table.column("known")
     own = unpack(table.filter(known))
     rest = table.filter(pc.invert(known))
     e, g = unpack(rest), unpacked(rest.column("g"), np.uint64)
-    out = [found(own, COVERED)] if len(own["k"]) else []
+    out = [found(own, COVERED, buckets)] if len(own["k"]) else []
     if len(g):
         held = smaller_holders(e["k"], e["d"])
         covered = held < e["d"]
         if covered.any():
-            out.append(found(take(e, np.flatnonzero(covered)), COVERED))
+            out.append(found(take(e, np.flatnonzero(covered)), COVERED, buckets))
         order = np.lexsort((e["d"], g))
         e, g, covered = take(e, order), g[order], covered[order]
         starts, group = groups_of(g)
@@ -213,7 +212,7 @@ def _settle_samples(table: pa.Table) -> pa.Table:
         one, other = np.minimum.reduceat(e["d"], starts), np.maximum.reduceat(e["d"], starts)
         edge = ((low != high) & (one != other))[group] & ~covered
         if edge.any():
-            out.append(found(take(e, np.flatnonzero(edge)), EDGE))
+            out.append(found(take(e, np.flatnonzero(edge)), EDGE, buckets))
     return pa.Table.from_batches(out or [no_found()])
 
 
@@ -228,8 +227,8 @@ def _send_suffixes(match: int, buckets: int):
             for i, j, buf, offs in text_blocks(batch):
                 at = []
                 for row in range(i, j):
-                    p = unpacked(firsts[row].values, np.int32).astype(np.int64)
-                    x = unpacked(more[row].values, np.int32).astype(np.int64)
+                    p = np.frombuffer(firsts[row].as_buffer(), dtype=np.int32).astype(np.int64)
+                    x = np.frombuffer(more[row].as_buffer(), dtype=np.int32).astype(np.int64)
                     at.append(np.unique(ranges(p, x + 1)) + offs[row - i])
                 here = np.concatenate(at)
                 of = np.repeat(np.arange(i, j), [len(a) for a in at])
@@ -249,15 +248,13 @@ def _send_suffixes(match: int, buckets: int):
     return run
 
 
-def _settle_suffixes(table: pa.Table) -> pa.Table:
-    import pyarrow.compute as pc
-
+def _settle_suffixes(table: pa.Table, buckets: int) -> pa.Table:
     known = table.column("known")
     own, e = unpack(table.filter(known)), unpack(table.filter(pc.invert(known)))
     covered = smaller_holders(e["k"], e["d"]) < e["d"]
     e = take(e, np.flatnonzero(covered))
     both = {f: np.concatenate([e[f], own[f]]) for f in FIELDS}
-    return pa.Table.from_batches([found(both, COVERED) if len(both["k"]) else no_found()])
+    return pa.Table.from_batches([found(both, COVERED, buckets) if len(both["k"]) else no_found()])
 
 
 def _keep(match: int, texts: bool):
@@ -269,8 +266,8 @@ def _keep(match: int, texts: bool):
                 gone = np.zeros(len(buf) + 1, dtype=np.int32)
                 for row in range(i, j):
                     if firsts[row].is_valid:
-                        p = unpacked(firsts[row].values, np.int32).astype(np.int64) + offs[row - i]
-                        x = unpacked(more[row].values, np.int32).astype(np.int64)
+                        p = np.frombuffer(firsts[row].as_buffer(), dtype=np.int32).astype(np.int64) + offs[row - i]
+                        x = np.frombuffer(more[row].as_buffer(), dtype=np.int32).astype(np.int64)
                         np.add.at(gone, p, 1)
                         np.add.at(gone, p + x + match, -1)
                 gone = np.cumsum(gone)[:-1] > 0
@@ -303,12 +300,12 @@ def covered_windows(docs: DataFrame, match: int = 50) -> DataFrame:
     """``(doc, tag, firsts, more)``: runs of window starts that a smaller document holds too."""
     buckets = bucket_count(docs, 8)
     packed = docs.mapInArrow(_send_samples(match, buckets), PACKED + ", g binary")
-    first = materialize(packed.groupBy("bucket").applyInArrow(_settle_samples, FOUND), "samples")
-    gather = [F.collect_list("p").alias("firsts"), F.collect_list("x").alias("more")]
-    edges = first.where(F.col("kind") == EDGE).groupBy("doc", "tag").agg(*gather)
+    first = materialize(packed.groupBy("bucket").applyInArrow(lambda t: _settle_samples(t, buckets), FOUND), "samples")
+    names = ["doc", "tag", F.col("p").alias("firsts"), F.col("x").alias("more")]
+    edges = places(first.where(F.col("kind") == EDGE)).select(*names)
     packed = docs.join(edges, ["doc", "tag"]).mapInArrow(_send_suffixes(match, buckets), PACKED)
-    second = materialize(packed.groupBy("bucket").applyInArrow(_settle_suffixes, FOUND), "suffixes")
-    return first.where(F.col("kind") == COVERED).unionByName(second).groupBy("doc", "tag").agg(*gather)
+    second = materialize(packed.groupBy("bucket").applyInArrow(lambda t: _settle_suffixes(t, buckets), FOUND), "suffixes")
+    return places(first.where(F.col("kind") == COVERED).unionByName(second)).select(*names)
 
 
 def remove_earlier(
