@@ -4,8 +4,9 @@ Texts become rows of 32-bit word hashes once.  TF-IDF rows of passages, over
 hashed terms, have a low-rank basis that a randomised SVD finds in two passes:
 each task multiplies its passages with a matrix of a few columns and back again,
 the products of all tasks are added up by rows of terms, and only the small sums
-reach the driver.  In that basis, scaled to equal variance, every window of every
-text is compared with all benchmark items.  What is close enough and also holds
+reach the driver.  In that basis, scaled to equal variance and without its first
+components, which tell languages apart, every window of every text is compared
+with the benchmark items, at the size of each item and at half of it.  What is close enough and also holds
 enough of the item's rare terms is settled by a longest common subsequence,
 weighted by rarity, and by whether the item's answer occurs word for word.
 
@@ -29,11 +30,13 @@ from reportlake.llm.shared import documents_of, materialize, named_id, small_or_
 #: Hashed terms; rank of the basis; rows of a part of a matrix of terms.
 TERMS, RANK, PART = 1 << 14, 48, 256
 #: Words between windows, and of the windows that items of growing length are compared with.
-STEP, SCALES = 12, (24, 48, 96)
+STEP, SCALES = 12, (12, 24, 48, 96)
+#: First components left out.
+SKIP = 4
 #: Words of a passage that is a row of the TF-IDF matrix; words that a task works on at once.
 PASSAGE, CHUNK = 48, 200_000
 #: Cosine and share of an item's term weight from which a window is a candidate.
-COSINE, OVERLAP = 0.4, 0.35
+COSINE, OVERLAP = 0.43, 0.35
 #: Weighted coverage from which a document counts as contaminated, without and with the answer.
 COVERED, COVERED_WITH_ANSWER = 0.6, 0.45
 #: Documents that contain a term, as a share, beyond which it has no weight.
@@ -167,6 +170,7 @@ def latent_basis(tokens: DataFrame, weight: np.ndarray, rank: int = RANK, seed:
     small = basis.T @ second
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     good = values > values.max() * 1e-9
+    good &= np.arange(len(values)) < max(1, good.sum() - SKIP) + (~good).sum()  # ascending order
     return (basis @ vectors[:, good] / np.sqrt(values[good])).astype(np.float32)
 
 
@@ -197,7 +201,7 @@ def common_subsequence(item: np.ndarray, weight: np.ndarray, text: np.ndarray) -
 
 def _search(items: list[Item], weight: np.ndarray, basis: np.ndarray):
     projected = basis * weight[:, None].astype(np.float32)
-    by_scale = [[n for n, x in enumerate(items) if x.scale == k] for k in range(len(SCALES))]
+    by_scale = [[n for n, x in enumerate(items) if k in (x.scale, max(0, x.scale - 1))] for k in range(len(SCALES))]
     vectors = np.stack([projected[x.words & (TERMS - 1)].sum(axis=0) for x in items])
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     has = np.zeros((len(items), TERMS), dtype=bool)
