@@ -1,10 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Texts become rows of 32-bit word hashes once.  TF-IDF rows of passages, over
-hashed terms, have a low-rank basis that a randomised SVD finds in two passes:
-each task multiplies its passages with a matrix of a few columns and back again,
-the products of all tasks are added up by rows of terms, and only the small sums
-reach the driver.  In that basis, scaled to equal variance and without its first
+hashed terms, have a low-rank basis that a randomised SVD finds in one pass
+(Nystroem's form of it): each task multiplies its passages with a random matrix of
+a few columns and back again, the products of all tasks are added up by rows of
+terms, and only the small sums reach the driver.  In that basis, scaled to equal variance and without its first
 components, which tell languages apart, every window of every text is compared
 with the benchmark items, at the size of each item and at half of it.  What is close enough and also holds
 enough of the item's rare terms is settled by a longest common subsequence,
@@ -31,16 +31,18 @@ from reportlake.llm.shared import documents_of, materialize, named_id, small_or_
 TERMS, RANK, PART = 1 << 14, 48, 256
 #: Words between windows, and of the windows that items of growing length are compared with.
 STEP, SCALES = 12, (12, 24, 48, 96)
+#: Words of 64 bits in the signature of a window.
+LANES = 4
 #: First components left out.
 SKIP = 4
 #: Words of a passage that is a row of the TF-IDF matrix; words that a task works on at once.
-PASSAGE, CHUNK = 48, 200_000
+PASSAGE, CHUNK = 48, 16_000
 #: Cosine and share of an item's term weight from which a window is a candidate.
-COSINE, OVERLAP = 0.43, 0.35
+COSINE, OVERLAP = 0.4, 0.35
 #: Weighted coverage from which a document counts as contaminated, without and with the answer.
 COVERED, COVERED_WITH_ANSWER = 0.6, 0.45
 #: Documents that contain a term, as a share, beyond which it has no weight.
-COMMON = 0.2
+COMMON = 0.1
 #: Benchmark items compared at once.
 ITEMS = 4096
 
@@ -160,18 +162,23 @@ def _multiplied(weight: np.ndarray, matrix: np.ndarray):
 
 
 def latent_basis(tokens: DataFrame, weight: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
-    """Randomised SVD with one power iteration: terms by ``rank``, scaled to equal variance."""
-    start = np.random.default_rng(seed).standard_normal((TERMS, rank)).astype(np.float32)
+    """Randomised SVD of the passages: terms by components, scaled to equal variance.
+
+    With ``K = A' A`` and a random orthonormal ``W``, ``Y = K W`` gives
+    ``K ~ Y (W' Y)^-1 Y'``, whose eigenvectors follow from a thin SVD.
+    """
+    start = np.linalg.qr(np.random.default_rng(seed).standard_normal((TERMS, rank)))[0].astype(np.float32)
     sketch = _added(tokens.mapInArrow(_multiplied(weight, start), ROWS), np.float32)
-    if sketch.shape[1] != rank:
+    if sketch.shape[1] != rank or not sketch.any():
         return np.zeros((TERMS, rank), dtype=np.float32)
-    basis, _ = np.linalg.qr(sketch)
-    second = _added(tokens.mapInArrow(_multiplied(weight, basis.astype(np.float32)), ROWS), np.float32)
-    small = basis.T @ second
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
-    good = values > values.max() * 1e-9
-    good &= np.arange(len(values)) < max(1, good.sum() - SKIP) + (~good).sum()  # ascending order
-    return (basis @ vectors[:, good] / np.sqrt(values[good])).astype(np.float32)
+    shift = 1e-6 * np.linalg.norm(sketch)
+    sketch = sketch + shift * start
+    inner = start.T.astype(np.float64) @ sketch
+    root = np.linalg.cholesky((inner + inner.T) / 2)
+    vectors, values, _ = np.linalg.svd(np.linalg.solve(root, sketch.T).T, full_matrices=False)
+    good = values > values[0] * 1e-4
+    good[: min(SKIP, good.sum() - 1)] = False
+    return (vectors[:, good] / values[good]).astype(np.float32)
 
 
 class Item:
@@ -185,11 +192,19 @@ class Item:
         last = np.frombuffer(sentences[-1].encode(), dtype=np.uint8) if len(sentences) > 1 else np.zeros(0, dtype=np.uint8)
         _, answer = token_hashes(last, np.array([0, len(last)]))
         self.answer = answer if len(answer) >= 3 else self.words[-max(3, len(self.words) // 3) :]
+        own = self.words[weight[self.words & (TERMS - 1)] > 0]
+        self.bits = np.bitwise_or.reduce(_bits(own), axis=1) if len(own) else np.zeros(LANES, dtype=U)
         # Common words keep a little weight, or a text of such words could not be matched at all.
         self.weight = weight[self.words & (TERMS - 1)] + 0.1
         self.scale = next((k for k, s in enumerate(SCALES) if s >= len(self.words)), len(SCALES) - 1)
 
 
+def _bits(h: np.ndarray) -> np.ndarray:
+    """A bit of ``64 * LANES`` for each word, by lane."""
+    lane, bit = (h >> np.uint32(20)) % np.uint32(LANES), U(1) << ((h >> np.uint32(14)) & np.uint32(63)).astype(U)
+    return np.stack([np.where(lane == k, bit, U(0)) for k in range(LANES)])
+
+
 def common_subsequence(item: np.ndarray, weight: np.ndarray, text: np.ndarray) -> float:
     """The largest total weight of a common subsequence, as a share of the item's."""
     best = np.zeros(len(text) + 1)
@@ -207,6 +222,9 @@ def _search(items: list[Item], weight: np.ndarray, basis: np.ndarray):
     has = np.zeros((len(items), TERMS), dtype=bool)
     for n, x in enumerate(items):
         has[n, x.words & (TERMS - 1)] = True
+    weighs = weight > 0
+    bits = np.stack([x.bits for x in items], axis=1)
+    some_bits = np.ceil(0.9 * OVERLAP * np.bitwise_count(bits).sum(axis=0))
     total = np.array([max(weight[np.unique(x.words & (TERMS - 1))].sum(), 1e-9) for x in items])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,12 +233,25 @@ def _search(items: list[Item], weight: np.ndarray, basis: np.ndarray):
                 continue
             term = h & (TERMS - 1)
             cut = _pieces(first, STEP)
-            sums = np.add.reduceat(projected[term], cut[:-1], axis=0)
+            kept = np.flatnonzero(weighs[term])
+            block = np.searchsorted(cut, kept, side="right") - 1
+            sums = np.zeros((len(cut) - 1, projected.shape[1]), dtype=np.float32)
+            if len(kept):
+                starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+                sums[block[starts]] = np.add.reduceat(projected[term[kept]], starts, axis=0)
             run_sum = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
             row = np.searchsorted(first, cut[:-1], side="right") - 1
             last = np.searchsorted(row, row, side="right")
+            # Which bits occur in a window; beyond a text's end the next one's are added, which only lets more pass.
+            signature = np.bitwise_or.reduceat(_bits(h), cut[:-1], axis=1)
+            spanned = 1
             found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
             for k, size in enumerate(SCALES):
+                while spanned < size // STEP:
+                    shifted = np.zeros_like(signature)
+                    if signature.shape[1] > spanned:
+                        shifted[:, :-spanned] = signature[:, spanned:]
+                    signature, spanned = signature | shifted, spanned * 2
                 if not by_scale[k]:
                     continue
                 own = np.array(by_scale[k])
@@ -233,6 +264,11 @@ def _search(items: list[Item], weight: np.ndarray, basis: np.ndarray):
                 z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
                 cosine = z @ vectors[own].T
                 a, b = np.nonzero(cosine >= COSINE)
+                met = np.zeros(len(a), dtype=np.int64)
+                for lane in range(LANES):
+                    met += np.bitwise_count(signature[lane][at[a]] & bits[lane][own[b]])
+                near = met >= some_bits[own[b]]
+                a, b = a[near], b[near]
                 for s in range(0, len(a), 20_000):
                     x, n = a[s : s + 20_000], own[b[s : s + 20_000]]
                     lo, hi = cut[at[x]], cut[to[x]]
