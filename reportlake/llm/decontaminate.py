@@ -38,7 +38,7 @@ SKIP = 4
 #: Words of a passage that is a row of the TF-IDF matrix; words that a task works on at once.
 PASSAGE, CHUNK = 48, 16_000
 #: Cosine and share of an item's term weight from which a window is a candidate.
-COSINE, OVERLAP = 0.4, 0.35
+COSINE, OVERLAP = 0.33, 0.3
 #: Weighted coverage from which a document counts as contaminated, without and with the answer.
 COVERED, COVERED_WITH_ANSWER = 0.6, 0.45
 #: Documents that contain a term, as a share, beyond which it has no weight.
