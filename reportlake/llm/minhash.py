@@ -8,9 +8,10 @@ Unlike one permutation with holes this keeps the concentration of independent
 minima, at a cost of a few hashes per shingle.
 
 Sketches are banded.  Documents with equal sets are one class from the start.
-In each band's bucket the smallest class is compared with all others on full
-sets; what this leaves in separate components is then compared among itself, so
-no link is lost to the star.
+In each band's bucket the smallest class is compared with all others; what this
+leaves in separate components is then compared among itself, so no link is lost
+to the star.  A pair whose whole sketches agree too little is no link; the rest
+are settled on full sets.
 """
 
 from __future__ import annotations
@@ -23,15 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportlake.llm.graph import components
-from reportlake.llm.kernels import U, Words, groups_of, mix, ranges, text_blocks
+from reportlake.llm.kernels import U, Words, mix, ranges, text_blocks
+from reportlake.llm.repeats import unpacked
 from reportlake.llm.shared import NO_ID, documents_of, materialize, named_id, small_or_not
 
 WORDS = 5
 #: 48 bands of 5: a pair at similarity 0.75 misses all of them with a chance of 2e-6.
 BANDS, ROWS = 48, 5
-#: Members of a bucket up to which those of different components are compared pair by pair at once.
+#: Pairs of different components, for each member of a bucket, up to which they are formed at once.
 PAIRWISE = 64
-_SKETCHED = "doc long, tag int, n_shingles long, d1 long, d2 long, bands array<long>"
+#: Standard deviations by which a sketch may fall short of the similarity asked for; 5 lose 3 pairs in ten million.
+SHORT = 5.0
+_SKETCHED = "doc long, tag int, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +106,7 @@ def _sketches(words: int, bands: int, per_band: int):
                 sizes = np.diff(first)
                 some = np.flatnonzero(sizes)
                 d1, d2 = np.zeros(j - i, dtype=U), np.zeros(j - i, dtype=U)
-                lists = pa.nulls(j - i, pa.list_(pa.int64()))
+                lists, short = pa.nulls(j - i, pa.list_(pa.int64())), pa.nulls(j - i, pa.binary())
                 if len(some):
                     d1[some] = np.add.reduceat(mix(value ^ U(0xA5A5A5A5)), first[some])
                     d2[some] = np.add.reduceat(mix(value + U(0x5BD1E995)), first[some])
@@ -110,14 +114,20 @@ def _sketches(words: int, bands: int, per_band: int):
                     _, lead = np.unique(np.stack([d1[some], d2[some]], axis=1), axis=0, return_index=True)
                     lead = np.sort(some[lead])
                     own = value[ranges(first[lead], sizes[lead])]
-                    keys = bands_of(sketch(own, np.concatenate([[0], np.cumsum(sizes[lead])]), bands * per_band), bands, per_band)
+                    filled = sketch(own, np.concatenate([[0], np.cumsum(sizes[lead])]), bands * per_band)
+                    keys = bands_of(filled, bands, per_band)
                     has = np.zeros(j - i, dtype=bool)
                     has[lead] = True
                     offsets = np.concatenate([[0], np.cumsum(has * bands)]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64)), mask=pa.array(~has))
+                    # The last byte of each coordinate is enough to estimate a similarity.
+                    low = np.ascontiguousarray((filled & U(0xFF)).astype(np.uint8))
+                    width = np.concatenate([[0], np.cumsum(has * low.shape[1])]).astype(np.int32)
+                    valid = pa.array(has).buffers()[1]
+                    short = pa.Array.from_buffers(pa.binary(), j - i, [valid, pa.py_buffer(width), pa.py_buffer(low)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").slice(i, j - i), batch.column("tag").slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists],
-                    names=["doc", "tag", "n_shingles", "d1", "d2", "bands"],
+                    [batch.column("doc").slice(i, j - i), batch.column("tag").slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists, short],
+                    names=["doc", "tag", "n_shingles", "d1", "d2", "bands", "sketch"],
                 )
 
     return run
@@ -150,35 +160,66 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(f"100 * n >= {percent} * (m - n)").select("a", "b")
 
 
+def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """``pairs(a, b)`` whose sketches agree in about as many coordinates as a link's would."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (unpacked(batch.column(c), np.uint8).reshape(batch.num_rows, -1) for c in ("x", "y"))
+            t, p = x.shape[1], percent / 100
+            enough = (x == y).sum(axis=1) >= t * p - SHORT * np.sqrt(t * p * (1 - p))
+            yield batch.select(["a", "b"]).filter(pa.array(enough))
+
+    both = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a").join(
+        sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b"
+    )
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
+def _mixed(rows: DataFrame, *keys: str) -> DataFrame:
+    """Buckets with members of several components: how many members, and pairs of different components."""
+    cells = rows.groupBy(*keys, "component").agg(F.count("*").alias("m"))
+    sums = cells.groupBy(*keys).agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("s"), F.count("*").alias("kinds"))
+    return sums.where("kinds > 1").selectExpr(*keys, "n", "(n * n - s) div 2 as pairs")
+
+
+def _pairs_in(rows: DataFrame, *keys: str) -> DataFrame:
+    other = rows.select(*keys, F.col("rep").alias("b"), F.col("component").alias("cb"))
+    return rows.join(other, list(keys)).where("rep < b and component <> cb").select(F.col("rep").alias("a"), "b")
+
+
 def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of one bucket that are in different components and meet in two bands at least.
 
-    Buckets beyond ``PAIRWISE`` members are split by the pair's other common
-    bands, again and again, before pairs are formed.
+    Where a bucket has many such pairs, its members are dealt out by their other
+    bands, if that leaves fewer; a pair that meets in two bands is in one of the
+    parts.
     """
     tagged = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key", "rep", F.coalesce("component", "rep").alias("component")
     )
     tagged = materialize(tagged, "tagged")
-    current, found = tagged, None
-    for depth in range(4):
-        sizes = current.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        sizes = materialize(sizes.where("lo <> hi").select("key", "n"), "mixed")
-        last = depth == 3
-        now = current.join(sizes if last else sizes.where(f"n <= {PAIRWISE}"), "key").select("key", "rep", "component")
-        other = now.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-        pairs = now.join(other, "key").where("rep < b and component <> cb").select(F.col("rep").alias("a"), "b", F.lit(depth).alias("depth"))
-        found = pairs if found is None else found.unionByName(pairs)
-        if last:
-            break
-        large = materialize(current.join(sizes.where(f"n > {PAIRWISE}"), "key").select("key", "rep", "component"), "large")
-        if large.isEmpty():
-            break
+    buckets = materialize(_mixed(tagged, "key"), "mixed")
+    large = buckets.where(f"pairs > {PAIRWISE} * n")
+    direct = buckets.where(f"pairs <= {PAIRWISE} * n").select("key")
+    parts = None
+    if not large.isEmpty():
         second = tagged.select(F.col("key").alias("other"), "rep")
-        current = large.join(second, "rep").where("key <> other").select(F.xxhash64("key", "other").alias("key"), "rep", "component")
-        current = materialize(current, "split")
-    met = found.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("depth").alias("depth"))
-    return met.where("n >= 2 or depth > 0").select("a", "b")
+        dealt = tagged.join(large.select("key"), "key").join(second, "rep").where("key <> other").select("key", "other", "rep", "component")
+        dealt = materialize(dealt, "dealt")
+        smaller = materialize(_mixed(dealt, "key", "other"), "parts")
+        sums = smaller.groupBy("key").agg(F.sum("pairs").alias("split"))
+        choice = large.join(sums, "key", "left").select("key", (F.coalesce("split", F.lit(0)) >= F.col("pairs")).alias("whole"))
+        choice = materialize(choice, "choice")
+        direct = direct.unionByName(choice.where("whole").select("key"))
+        chosen = smaller.join(choice.where("not whole").select("key"), "key").select("key", "other")
+        parts = _pairs_in(dealt.join(chosen, ["key", "other"]), "key", "other").withColumn("n", F.lit(2).cast("long"))
+    met = _pairs_in(tagged.join(direct, "key"), "key").groupBy("a", "b").agg(F.count("*").alias("n"))
+    if parts is not None:
+        met = met.unionByName(parts.distinct()).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return met.where("n >= 2").select("a", "b")
 
 
 def near_duplicates(
@@ -202,13 +243,14 @@ def near_duplicates(
     docs = documents_of(documents, id_col, text_col)
     sketched = materialize(docs.mapInArrow(_sketches(words, bands, rows_per_band), _SKETCHED), "sketches")
     some = sketched.where(f"n_shingles > 0 and doc < {NO_ID}")
-    classes = some.groupBy("d1", "d2").agg(F.min(F.struct("doc", "tag")).alias("one"), F.first("bands", ignorenulls=True).alias("bands"))
-    classes = materialize(classes.select("d1", "d2", F.col("one.doc").alias("rep"), F.col("one.tag").alias("rep_tag"), "bands"), "classes")
+    classes = some.groupBy("d1", "d2").agg(F.min(F.struct("doc", "tag")).alias("one"), F.first("bands", ignorenulls=True).alias("bands"), F.first("sketch", ignorenulls=True).alias("sketch"))
+    classes = materialize(classes.select("d1", "d2", F.col("one.doc").alias("rep"), F.col("one.tag").alias("rep_tag"), "bands", "sketch"), "classes")
     # A class is named by its smallest document; rows that share an id share a name.
     exploded = classes.select("rep", F.explode("bands").alias("key"))
     stars = exploded.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("far")).where("center <> far").select("key", "center")
     members = materialize(exploded.join(stars, "key"), "members")
     pairs = members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = materialize(_plausible(pairs, classes, similarity), "pairs")
     wanted = materialize(members.select("rep").distinct(), "wanted")
     source = classes.join(wanted, "rep").select("rep", F.col("rep").alias("doc"), F.col("rep_tag").alias("tag"))
     source = small_or_not(materialize(source, "source"))
@@ -218,7 +260,7 @@ def near_duplicates(
         sets = materialize(sets.dropDuplicates(["rep", "set"]), "sets")
     links = materialize(_verified(pairs, sets, similarity), "links")
     labels = components(links)
-    rest = materialize(_across(members.select("key", "rep").distinct(), labels), "rest")
+    rest = materialize(_plausible(_across(members.select("key", "rep").distinct(), labels), classes, similarity), "rest")
     if not rest.isEmpty():
         more = materialize(_verified(rest, sets, similarity), "links")
         if not more.isEmpty():
