@@ -170,13 +170,14 @@ def _scan(templates: dict[str, str], coverage: float):
                 out = []
                 for (row, t), hits in seen.items():
                     a, b = w.first[row], w.first[row + 1]
-                    done = -1
+                    # Narrower for short templates, so that two places in a row keep apart.
+                    done, band = -len(h) - 1, max(1, min(BAND, len(words[t]) // 3))
                     for diagonal, where in sorted(hits):
                         if diagonal <= done:  # within the band of one that was aligned
                             continue
-                        lo_at, hi_at = max(int(a), diagonal - BAND), min(int(b), diagonal + len(words[t]) + BAND)
-                        matched, first, last = align(h[lo_at:hi_at], words[t], diagonal - lo_at)
-                        done = diagonal + BAND // 2
+                        lo_at, hi_at = max(int(a), diagonal - band), min(int(b), diagonal + len(words[t]) + band)
+                        matched, first, last = align(h[lo_at:hi_at], words[t], diagonal - lo_at, band)
+                        done = diagonal + band // 2
                         if matched >= coverage * len(words[t]):
                             first, last = first + lo_at, last + lo_at
                             start, end = chars[w.start[first]] - chars[offs[row]], chars[w.end[last]] - chars[offs[row]]
