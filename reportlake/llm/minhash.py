@@ -8,9 +8,9 @@ Unlike one permutation with holes this keeps the concentration of independent
 minima, at a cost of a few hashes per shingle.
 
 Sketches are banded.  Documents with equal sets are one class from the start.
-In each band's bucket the smallest class is compared with all others; what this
-leaves in separate components is then compared among itself, so no link is lost
-to the star.  A pair whose whole sketches agree too little is no link; the rest
+In each band's bucket the smallest class is compared with all others, then, where
+several components are left, members drawn by hash; what this leaves in separate
+components is then compared among itself, so no link is lost to the stars.  A pair whose whole sketches agree too little is no link; the rest
 are settled on full sets.
 """
 
@@ -33,6 +33,8 @@ WORDS = 5
 BANDS, ROWS = 48, 5
 #: Pairs of different components, for each member of a bucket, up to which they are formed at once.
 PAIRWISE = 64
+#: Further rounds in which buckets of several components are compared with one drawn member.
+STARS = 3
 #: Standard deviations by which a sketch may fall short of the similarity asked for; 5 lose 3 pairs in ten million.
 SHORT = 5.0
 _SKETCHED = "doc long, tag int, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"
@@ -178,6 +180,17 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
+def _star(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """In every bucket of several components, a member drawn by hash with those of other components."""
+    tagged = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    tagged = materialize(tagged, "tagged")
+    drawn = F.xxhash64("rep", "key", F.lit(turn))
+    centers = tagged.groupBy("key").agg(F.max(F.struct(drawn.alias("h"), "rep", "component")).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    centers = centers.where("lo <> hi").select("key", F.col("c.rep").alias("center"), F.col("c.component").alias("own"))
+    pairs = tagged.join(centers, "key").where("component <> own")
+    return pairs.select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct()
+
+
 def _mixed(rows: DataFrame, *keys: str) -> DataFrame:
     """Buckets with members of several components: how many members, and pairs of different components."""
     cells = rows.groupBy(*keys, "component").agg(F.count("*").alias("m"))
@@ -260,6 +273,15 @@ def near_duplicates(
         sets = materialize(sets.dropDuplicates(["rep", "set"]), "sets")
     links = materialize(_verified(pairs, sets, similarity), "links")
     labels = components(links)
+    for turn in range(STARS):
+        star = materialize(_plausible(_star(members.select("key", "rep"), labels, turn), classes, similarity), "star")
+        if star.isEmpty():
+            break
+        more = materialize(_verified(star, sets, similarity), "links")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        labels = components(links)
     rest = materialize(_plausible(_across(members.select("key", "rep").distinct(), labels), classes, similarity), "rest")
     if not rest.isEmpty():
         more = materialize(_verified(rest, sets, similarity), "links")
