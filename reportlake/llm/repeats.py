@@ -76,8 +76,9 @@ def unpack(table: pa.Table) -> Entries:
     return {f: unpacked(table.column(f), kind) for f, kind in FIELDS.items()}
 
 
-def found(e: Entries, kind: int, parts: int) -> pa.RecordBatch:
-    """Positions, one row for each of ``parts`` parts of the documents."""
+def found(e: Entries, kind: int, buckets: int) -> pa.RecordBatch:
+    """Positions, one row for each part of the documents; there are fewer parts than buckets."""
+    parts = max(4, buckets // 4)
     part = (mix(e["d"].astype(U) + U(5)) % U(parts)).astype(np.int32)
     order = np.lexsort((e["p"], e["t"], e["d"], part))
     part, e = part[order], take(e, order)

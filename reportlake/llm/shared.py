@@ -54,11 +54,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     A lost executor then costs the tasks that ran on it, not the whole chain.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    del df  # or its shuffle files would outlive this
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def id_key(column: str = "doc_id") -> Column:

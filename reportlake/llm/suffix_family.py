@@ -299,12 +299,13 @@ def _runs(gone: np.ndarray) -> list[dict[str, int]]:
 def covered_windows(docs: DataFrame, match: int = 50) -> DataFrame:
     """``(doc, tag, firsts, more)``: runs of window starts that a smaller document holds too."""
     buckets = bucket_count(docs, 8)
-    packed = docs.mapInArrow(_send_samples(match, buckets), PACKED + ", g binary")
-    first = materialize(packed.groupBy("bucket").applyInArrow(lambda t: _settle_samples(t, buckets), FOUND), "samples")
+    sent = PACKED + ", g binary"
+    first = materialize(docs.mapInArrow(_send_samples(match, buckets), sent).groupBy("bucket").applyInArrow(lambda t: _settle_samples(t, buckets), FOUND), "samples")
     names = ["doc", "tag", F.col("p").alias("firsts"), F.col("x").alias("more")]
-    edges = places(first.where(F.col("kind") == EDGE)).select(*names)
-    packed = docs.join(edges, ["doc", "tag"]).mapInArrow(_send_suffixes(match, buckets), PACKED)
-    second = materialize(packed.groupBy("bucket").applyInArrow(lambda t: _settle_suffixes(t, buckets), FOUND), "suffixes")
+    edges = materialize(places(first.where(F.col("kind") == EDGE)).select(*names), "edges")
+    sent = docs.join(edges, ["doc", "tag"]).mapInArrow(_send_suffixes(match, buckets), PACKED)
+    second = materialize(sent.groupBy("bucket").applyInArrow(lambda t: _settle_suffixes(t, buckets), FOUND), "suffixes")
+    del sent
     return places(first.where(F.col("kind") == COVERED).unionByName(second)).select(*names)
 
 
