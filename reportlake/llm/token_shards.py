@@ -32,8 +32,6 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Tokens of a sequence; sequences of a shard; rounds of the permutation; bytes of tokens in a task.
 LENGTH, SLOTS, ROUNDS, TASK_BYTES = 512, 2048, 6, 16 << 20
-#: Pieces of text whose ids a task remembers.
-REMEMBERED = 200_000
 
 _PART = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("docs", pa.binary()), ("seq", pa.binary()), ("size", pa.binary()), ("tokens", pa.binary())])
 PARTS = "part int, first long, n long, docs binary, seq binary, size binary, tokens binary"
@@ -61,29 +59,19 @@ def feistel(index: np.ndarray, count: int, key: int, rounds: int = ROUNDS) -> np
 
 
 def encoder(vocabulary: str):
-    """``(encode(text) -> ids, end id)``; equal pieces of text are merged once per task."""
-    import regex
+    """``(encode(text) -> ids, end id)``; a text is cut and merged in one call of the library."""
     import tiktoken
 
     with open(vocabulary, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    pieces = regex.compile(PATTERN).findall
-    known: dict[str, list[int]] = {}
+    end = max(ranks.values()) + 1
+    kind = np.uint16 if end < 1 << 16 else np.uint32
 
-    def encode(text: str) -> list[int]:
-        out: list[int] = []
-        for piece in pieces(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = core.encode_ordinary(piece)
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[piece] = ids
-            out += ids
-        return out
+    def encode(text: str) -> np.ndarray:
+        return core.encode_to_numpy(text, disallowed_special=()).astype(kind)
 
-    return encode, max(ranks.values()) + 1
+    return encode, end
 
 
 def _encoded(vocabulary: str, length: int):
@@ -99,7 +87,7 @@ def _encoded(vocabulary: str, length: int):
             doc = batch.column("doc").to_numpy()
             for i, j, buf, offs in text_blocks(batch):
                 data = buf.tobytes()
-                ids = [np.array([*encode(data[a:b].decode()), end], dtype=kind) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+                ids = [np.append(encode(data[a:b].decode()), kind(end)) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
                 sizes = np.array([len(x) for x in ids], dtype=np.int64)
                 per = -(-sizes // length)
                 seq = np.concatenate([np.arange(n) for n in per]).astype(np.int32)
