@@ -41,8 +41,8 @@ PASSAGE, CHUNK = 48, 16_000
 COSINE, OVERLAP = 0.33, 0.3
 #: Weighted coverage from which a document counts as contaminated, without and with the answer.
 COVERED, COVERED_WITH_ANSWER = 0.6, 0.45
-#: Documents that contain a term, as a share, beyond which it has no weight.
-COMMON = 0.1
+#: What a term weighs that every text holds: a passage of such terms can be found too.
+LEAST = 0.1
 #: Benchmark items compared at once.
 ITEMS = 4096
 
@@ -194,8 +194,8 @@ class Item:
         self.answer = answer if len(answer) >= 3 else self.words[-max(3, len(self.words) // 3) :]
         own = self.words[weight[self.words & (TERMS - 1)] > 0]
         self.bits = np.bitwise_or.reduce(_bits(own), axis=1) if len(own) else np.zeros(LANES, dtype=U)
-        # Common words keep a little weight, or a text of such words could not be matched at all.
-        self.weight = weight[self.words & (TERMS - 1)] + 0.1
+        # Words that no text holds weigh a little too, or an item of such words would weigh nothing.
+        self.weight = np.maximum(weight[self.words & (TERMS - 1)], LEAST)
         self.scale = next((k for k, s in enumerate(SCALES) if s >= len(self.words)), len(SCALES) - 1)
 
 
@@ -334,9 +334,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "d
     tokens = rows.where("kind = 0")
     n = tokens.count()
     df = _added(rows.where("kind = 1"), np.int64)[:, 0] if n else np.zeros(TERMS)
-    weight = np.where((df > 0) & (df <= max(1.0, COMMON * n)), np.log((1 + n) / (1 + df)), 0.0).astype(np.float32)
-    if not weight.any():  # a few texts: every term is common
-        weight = np.where(df > 0, 1.0, 0.0).astype(np.float32)
+    # Without a cut-off: a leak that many texts hold makes its own terms common.
+    weight = np.where(df > 0, np.log((1 + n) / (1 + df)) + LEAST, 0.0).astype(np.float32)
     basis = latent_basis(tokens, weight)
     listed = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     found, block = None, []
