@@ -29,8 +29,8 @@ from reportlake.llm.shared import documents_of, materialize, named_id, small_or_
 
 #: Hashed terms; rank of the basis; rows of a part of a matrix of terms.
 TERMS, RANK, PART = 1 << 14, 48, 256
-#: Words between windows, and of the windows that items of growing length are compared with.
-STEP, SCALES = 12, (12, 24, 48, 96)
+#: Words between windows, and of the smallest windows; they double up to the longest item.
+STEP = 12
 #: Words of 64 bits in the signature of a window.
 LANES = 4
 #: First components left out.
@@ -43,8 +43,8 @@ COSINE, OVERLAP = 0.33, 0.3
 COVERED, COVERED_WITH_ANSWER = 0.6, 0.45
 #: What a term weighs that every text holds: a passage of such terms can be found too.
 LEAST = 0.1
-#: Benchmark items compared at once.
-ITEMS = 4096
+#: Benchmark items compared at once; words of windows compared exactly at once.
+ITEMS, CELLS = 4096, 1 << 21
 
 _ROWS = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("tag", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
 ROWS = "kind int, doc long, tag int, part int, data binary"
@@ -196,7 +196,7 @@ class Item:
         self.bits = np.bitwise_or.reduce(_bits(own), axis=1) if len(own) else np.zeros(LANES, dtype=U)
         # Words that no text holds weigh a little too, or an item of such words would weigh nothing.
         self.weight = np.maximum(weight[self.words & (TERMS - 1)], LEAST)
-        self.scale = next((k for k, s in enumerate(SCALES) if s >= len(self.words)), len(SCALES) - 1)
+        self.scale = max(0, (-(-len(self.words) // STEP) - 1).bit_length())  # STEP << scale words hold the item
 
 
 def _bits(h: np.ndarray) -> np.ndarray:
@@ -216,7 +216,7 @@ def common_subsequence(item: np.ndarray, weight: np.ndarray, text: np.ndarray) -
 
 def _search(items: list[Item], weight: np.ndarray, basis: np.ndarray):
     projected = basis * weight[:, None].astype(np.float32)
-    by_scale = [[n for n, x in enumerate(items) if k in (x.scale, max(0, x.scale - 1))] for k in range(len(SCALES))]
+    by_scale = [[n for n, x in enumerate(items) if k in (x.scale, max(0, x.scale - 1))] for k in range(max(x.scale for x in items) + 1)]
     vectors = np.stack([projected[x.words & (TERMS - 1)].sum(axis=0) for x in items])
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     has = np.zeros((len(items), TERMS), dtype=bool)
@@ -246,7 +246,8 @@ def _search(items: list[Item], weight: np.ndarray, basis: np.ndarray):
             signature = np.bitwise_or.reduceat(_bits(h), cut[:-1], axis=1)
             spanned = 1
             found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
-            for k, size in enumerate(SCALES):
+            for k in range(len(by_scale)):
+                size = STEP << k
                 while spanned < size // STEP:
                     shifted = np.zeros_like(signature)
                     if signature.shape[1] > spanned:
@@ -269,8 +270,9 @@ def _search(items: list[Item], weight: np.ndarray, basis: np.ndarray):
                     met += np.bitwise_count(signature[lane][at[a]] & bits[lane][own[b]])
                 near = met >= some_bits[own[b]]
                 a, b = a[near], b[near]
-                for s in range(0, len(a), 20_000):
-                    x, n = a[s : s + 20_000], own[b[s : s + 20_000]]
+                at_once = max(1, CELLS // size)
+                for s in range(0, len(a), at_once):
+                    x, n = a[s : s + at_once], own[b[s : s + at_once]]
                     lo, hi = cut[at[x]], cut[to[x]]
                     cells = lo[:, None] + np.arange(size)
                     inside = cells < hi[:, None]

@@ -22,3 +22,10 @@ def test_leak_in_a_third_of_all_texts(spark):
     texts += [texts[0]] * 75
     want = {(k, 0) for k, t in enumerate(texts) if item in t}
     assert leaks(spark, texts, [item, prose(draw, 30, 10**6)]) == want
+
+
+def test_leak_of_a_long_item(spark):
+    draw = random.Random(4)
+    items = [prose(draw, n, 10**6) for n in (97, 400, 1000, 3000)]
+    texts = [prose(draw, 100) for _ in range(40)] + [f"{prose(draw, 37)} {item} {prose(draw, 50)}" for item in items] + items
+    assert leaks(spark, texts, items) == {(40 + k, k % 4) for k in range(8)}
