@@ -46,9 +46,9 @@ LEAST = 0.1
 #: Benchmark items compared at once; words of windows compared exactly at once.
 ITEMS, CELLS = 4096, 1 << 21
 
-_ROWS = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("tag", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
-ROWS = "kind int, doc long, tag int, part int, data binary"
-FOUND = "doc long, tag int, item_id long, cosine double, coverage double, answer boolean, start_word long, n_words long"
+_ROWS = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("tag", pa.int64()), ("part", pa.int32()), ("data", pa.binary())])
+ROWS = "kind int, doc long, tag long, part int, data binary"
+FOUND = "doc long, tag long, item_id long, cosine double, coverage double, answer boolean, start_word long, n_words long"
 
 
 def token_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[Words, np.ndarray]:
@@ -63,7 +63,7 @@ def _parts(kind: int, matrix: np.ndarray) -> pa.RecordBatch:
     cuts = np.arange(n + 1) * flat.shape[1]
     zero = pa.array(np.zeros(n, dtype=np.int64))
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, dtype=np.int32)), zero, zero.cast(pa.int32()), pa.array(np.arange(n, dtype=np.int32)), _cut(flat.reshape(-1), cuts)],
+        [pa.array(np.full(n, kind, dtype=np.int32)), zero, zero, pa.array(np.arange(n, dtype=np.int32)), _cut(flat.reshape(-1), cuts)],
         schema=_ROWS,
     )
 
@@ -298,7 +298,7 @@ def _search(items: list[Item], weight: np.ndarray, basis: np.ndarray):
                     out.append((batch.column("doc")[i + r].as_py(), batch.column("tag")[i + r].as_py(), item.item_id, *best))
             if out:
                 columns = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
                     names=["doc", "tag", "item_id", "cosine", "coverage", "answer", "start_word", "n_words"],

@@ -37,7 +37,7 @@ PAIRWISE = 64
 STARS = 3
 #: Standard deviations by which a sketch may fall short of the similarity asked for; 5 lose 3 pairs in ten million.
 SHORT = 5.0
-_SKETCHED = "doc long, tag int, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"
+_SKETCHED = "doc long, tag long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:

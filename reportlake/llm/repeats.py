@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from reportlake.llm.kernels import U, groups_of, mix
 
 #: Packed columns of an entry. x holds what an operator needs beside the position.
-FIELDS = {"k": np.uint64, "d": np.int64, "t": np.int16, "p": np.int32, "x": np.int32}
+FIELDS = {"k": np.uint64, "d": np.int64, "t": np.int64, "p": np.int32, "x": np.int32}
 PACKED = "bucket int, known boolean, " + ", ".join(f"{f} binary" for f in FIELDS)
 FOUND = "kind int, part int, d binary, t binary, p binary, x binary"
-PLACES = "doc long, tag int, p binary, x binary"
+PLACES = "doc long, tag long, p binary, x binary"
 _PACKED = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), *[(f, pa.binary()) for f in FIELDS]])
 _FOUND = pa.schema([("kind", pa.int32()), ("part", pa.int32()), *[(f, pa.binary()) for f in "dtpx"]])
-_PLACES = pa.schema([("doc", pa.int64()), ("tag", pa.int32()), ("p", pa.binary()), ("x", pa.binary())])
+_PLACES = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("p", pa.binary()), ("x", pa.binary())])
 
 Entries = dict[str, np.ndarray]
 
@@ -44,10 +44,12 @@ def _cut(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
 
 
 def pack(e: Entries, known: bool, buckets: int) -> Iterator[pa.RecordBatch]:
-    """One row per bucket. Known entries need no partner: they spread by document."""
+    """One row per bucket. Known entries need no partner: they spread by document, without fingerprint."""
     if not len(e["k"]):
         return
     e = {f: e[f].astype(kind, copy=False) for f, kind in FIELDS.items()}
+    if known:
+        e["k"] = np.zeros_like(e["k"])
     spread = mix(e["d"].astype(U) + U(77)) if known else e["k"]
     bucket = ((spread >> U(17)) % U(buckets)).astype(np.int32)
     order = np.lexsort((e["d"], bucket))
@@ -101,7 +103,7 @@ def _by_document(table: pa.Table) -> pa.Table:
     new[1:] = (e["d"][1:] != e["d"][:-1]) | (e["t"][1:] != e["t"][:-1])
     starts = np.flatnonzero(new)
     cuts = np.append(starts, len(new))
-    columns = [pa.array(e["d"][starts], pa.int64()), pa.array(e["t"][starts].astype(np.int32))]
+    columns = [pa.array(e["d"][starts], pa.int64()), pa.array(e["t"][starts], pa.int64())]
     return pa.Table.from_arrays(columns + [_cut(e["p"], cuts), _cut(e["x"], cuts)], schema=_PLACES)
 
 

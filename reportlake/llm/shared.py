@@ -66,8 +66,13 @@ def id_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
 
+def row_tag(id_col: str, text_col: str) -> Column:
+    """A 64-bit hash of a row's id and text: rows that share it are repeated rows."""
+    return F.xxhash64(id_key(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("tag")
+
+
 def documents_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc long, tag int, text string)``: what the text operators work on.
+    """``(doc long, tag long, text string)``: what the text operators work on.
 
     ``doc`` is the id with null as ``NO_ID``; ``tag`` tells rows apart that
     share an id but not a text.  Every other column of the input stays out, so
@@ -76,7 +81,7 @@ def documents_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         id_key(id_col).alias("doc"),
-        F.expr(f"cast(xxhash64(coalesce(`{text_col}`, '')) & 32767 as int)").alias("tag"),
+        row_tag(id_col, text_col),
         text.alias("text"),
     )
 
@@ -84,8 +89,7 @@ def documents_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def without(documents: DataFrame, bad: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``documents`` without the rows that ``bad(doc, tag)`` names, their columns untouched."""
     own = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
-    tag = F.expr(f"cast(xxhash64(coalesce(`{text_col}`, '')) & 32767 as int)").alias("tag")
-    rows = documents.select(own, id_key(id_col).alias("doc"), tag)
+    rows = documents.select(own, id_key(id_col).alias("doc"), row_tag(id_col, text_col))
     return rows.join(bad, ["doc", "tag"], "left_anti").select("row.*")
 
 

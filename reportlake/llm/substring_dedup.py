@@ -37,7 +37,6 @@ def anchor_entries(window: int):
     covered[list(COVER)] = True
 
     def entries(batch: pa.RecordBatch) -> Iterator[Entries]:
-        doc = batch.column("doc").to_numpy()
         tag = batch.column("tag").to_numpy()
         for i, _, buf, offs in text_blocks(batch):
             w = Words(buf, offs)
@@ -47,7 +46,7 @@ def anchor_entries(window: int):
                 continue
             h = mix(word_prefix(w.hashes(buf)).raw(here, here + length))
             of = w.doc[here]
-            yield {"k": h, "d": doc[i + of], "t": tag[i + of], "p": at[here], "x": np.zeros(len(here), np.int32)}
+            yield {"k": h, "d": tag[i + of], "t": np.zeros(len(here), np.int64), "p": at[here], "x": np.zeros(len(here), np.int32)}
 
     return entries
 
@@ -56,7 +55,6 @@ def window_entries(window: int):
     """Hashes of the full windows around each document's repeated anchors."""
 
     def entries(batch: pa.RecordBatch) -> Iterator[Entries]:
-        doc = batch.column("doc").to_numpy()
         tag = batch.column("tag").to_numpy()
         anchors = batch.column("anchors")
         for i, j, buf, offs in text_blocks(batch):
@@ -75,7 +73,7 @@ def window_entries(window: int):
                 continue
             h = mix(word_prefix(w.hashes(buf)).raw(here, here + window))
             of = w.doc[here]
-            yield {"k": h, "d": doc[i + of], "t": tag[i + of], "p": here - w.first[of], "x": np.zeros(len(here), np.int32)}
+            yield {"k": h, "d": tag[i + of], "t": np.zeros(len(here), np.int64), "p": here - w.first[of], "x": np.zeros(len(here), np.int32)}
 
     return entries
 
@@ -112,7 +110,9 @@ def _keep(window: int, digest: bool):
 
 
 def repeated_windows(docs: DataFrame, window: int = 35) -> DataFrame:
-    """``(doc, tag, starts binary)``: word positions, packed, where a window that occurs twice starts.
+    """``(tag, starts binary)``: word positions, packed, where a window that occurs twice starts.
+
+    No order is asked of the documents, so the tag alone travels with a position.
 
     ``docs`` is ``documents_of`` of a table.  Windows are counted over the whole
     input, within a document too.
@@ -120,9 +120,9 @@ def repeated_windows(docs: DataFrame, window: int = 35) -> DataFrame:
     if window < PERIOD + 4:
         raise ValueError(f"a window has at least {PERIOD + 4} words")
     anchors = materialize(repeated(docs, anchor_entries(window), bucket_count(docs, 8)), "anchors")
-    regions = docs.join(places(anchors).select("doc", "tag", F.col("p").alias("anchors")), ["doc", "tag"])
+    regions = docs.join(places(anchors).select(F.col("doc").alias("tag"), F.col("p").alias("anchors")), "tag")
     windows = materialize(repeated(regions, window_entries(window), bucket_count(docs, 8)), "windows")
-    return places(windows).select("doc", "tag", F.col("p").alias("starts"))
+    return places(windows).select(F.col("doc").alias("tag"), F.col("p").alias("starts"))
 
 
 def remove_repeats(
@@ -141,6 +141,6 @@ def remove_repeats(
     not a text are kept apart.  Extra columns are ignored.
     """
     docs = documents_of(documents, id_col, text_col)
-    joined = docs.join(repeated_windows(docs, window), ["doc", "tag"], "left")
+    joined = docs.join(repeated_windows(docs, window), "tag", "left")
     out = joined.mapInArrow(_keep(window, not texts), TEXTS if texts else RESULT)
     return out.select(named_id().alias("doc_id"), *out.columns[1:])

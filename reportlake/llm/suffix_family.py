@@ -187,6 +187,8 @@ def _with_grams(e: Entries, g: np.ndarray, known: bool, buckets: int) -> Iterato
     starts, _ = groups_of(bucket)
     cuts = np.append(starts, len(bucket))
     columns = [pa.array(bucket[starts], pa.int32()), pa.array(np.full(len(starts), known))]
+    if known:
+        e = e | {"k": np.zeros_like(e["k"])}
     columns += [_cut(e[f].astype(kind, copy=False)[order], cuts) for f, kind in FIELDS.items()]
     sent = np.zeros(0, dtype=U) if known else g[order]
     columns.append(_cut(sent, np.zeros_like(cuts) if known else cuts))

@@ -2,7 +2,11 @@
 
 import random
 
-from reportlake.llm import decontaminate
+import pytest
+from pyspark.sql import functions as F
+from test_llm import rows_of, suffixes_brute, windows_brute
+
+from reportlake.llm import decontaminate, shared, substring_dedup, suffix_family
 
 
 def prose(draw, n, vocabulary=400):
@@ -29,3 +33,30 @@ def test_leak_of_a_long_item(spark):
     items = [prose(draw, n, 10**6) for n in (97, 400, 1000, 3000)]
     texts = [prose(draw, 100) for _ in range(40)] + [f"{prose(draw, 37)} {item} {prose(draw, 50)}" for item in items] + items
     assert leaks(spark, texts, items) == {(40 + k, k % 4) for k in range(8)}
+
+
+@pytest.fixture(scope="module")
+def without_id(spark):
+    """Different texts under no id and under one id; every second one holds a passage that others hold too."""
+    draw = random.Random(6)
+    passage = prose(draw, 60)
+    rows = []
+    for k in range(1600):
+        own = f"own{k} " + prose(draw, 1 + k % 7, 10**6)
+        rows.append((7 if k < 800 else None, own + " " + passage if k % 2 else own))
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+def test_many_texts_without_id_and_repeated_windows(without_id):
+    assert rows_of(substring_dedup.remove_repeats(without_id)) == windows_brute(without_id.collect())
+
+
+def test_many_texts_without_id_and_earlier_suffixes(without_id):
+    assert rows_of(suffix_family.remove_earlier(without_id)) == suffixes_brute(without_id.collect())
+
+
+def test_rows_without_id_stay_beside_those_that_go(spark):
+    texts = [f"text {k}" for k in range(6000)]
+    rows = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    bad = shared.documents_of(rows.where(F.substring("text", 6, 9).cast("int") < 200)).select("doc", "tag")
+    assert sorted(r.text for r in shared.without(rows, bad).collect()) == sorted(texts[200:])
