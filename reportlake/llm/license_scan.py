@@ -13,6 +13,7 @@ and nothing is shuffled.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -181,8 +182,8 @@ def _scan(templates: dict[str, str], coverage: float):
                         if matched >= coverage * len(words[t]):
                             first, last = first + lo_at, last + lo_at
                             start, end = chars[w.start[first]] - chars[offs[row]], chars[w.end[last]] - chars[offs[row]]
-                            out.append((int(doc[i + row]), names[t], matched / len(words[t]), matched, int(start), int(end)))
-                out = sorted(set(_best(out)))
+                            out.append((i + row, names[t], matched / len(words[t]), matched, int(start), int(end)))
+                out = [(int(doc[row]), *rest) for row, *rest in sorted(_best(out))]
                 columns = list(zip(*out, strict=True)) or [()] * 6
                 kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays(
@@ -193,11 +194,16 @@ def _scan(templates: dict[str, str], coverage: float):
 
 
 def _best(found: list[tuple]) -> list[tuple]:
-    """Of overlapping reports of one license in one document, the one with most matched words."""
+    """Of overlapping reports of one license in one row of a block, the one with most matched words."""
     kept: list[tuple] = []
+    spans: dict[tuple[int, str], list[tuple[int, int]]] = {}  # those kept, apart from each other, in order
     for f in sorted(found, key=lambda f: (f[0], f[1], -f[3], f[4])):
-        if not any(k[0] == f[0] and k[1] == f[1] and k[4] < f[5] and f[4] < k[5] for k in kept[-50:]):
-            kept.append(f)
+        own = spans.setdefault(f[:2], [])
+        k = bisect(own, (f[4], f[5]))
+        if (k and own[k - 1][1] > f[4]) or (k < len(own) and own[k][0] < f[5]):
+            continue
+        own.insert(k, (f[4], f[5]))
+        kept.append(f)
     return kept
 
 

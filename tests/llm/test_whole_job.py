@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_llm import rows_of, suffixes_brute, windows_brute
 
-from reportlake.llm import decontaminate, shared, substring_dedup, suffix_family
+from reportlake.llm import decontaminate, license_scan, shared, substring_dedup, suffix_family
 
 
 def prose(draw, n, vocabulary=400):
@@ -60,3 +60,18 @@ def test_rows_without_id_stay_beside_those_that_go(spark):
     rows = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
     bad = shared.documents_of(rows.where(F.substring("text", 6, 9).cast("int") < 200)).select("doc", "tag")
     assert sorted(r.text for r in shared.without(rows, bad).collect()) == sorted(texts[200:])
+
+
+def test_license_reports_by_row(spark):
+    mit = "Released under the MIT License."
+    texts = [mit, mit + " one", "two " + mit, mit]
+    for key in (None, 3):
+        rows = spark.createDataFrame([(key, t) for t in texts], "doc_id long, text string").coalesce(1)
+        got = sorted((r.doc_id or 0, r.start, r.end) for r in license_scan.scan(rows).collect())
+        assert got == [(key or 0, 0, 30)] * 3 + [(key or 0, 4, 34)]
+
+
+def test_lesser_license_match_beside_many():
+    best = [(0, "MIT", 1.0, 5, 100 * k, 100 * k + 30) for k in range(200)]
+    lesser = [(0, "MIT", 0.8, 4, 100 * k + 10, 100 * k + 40) for k in range(200)]
+    assert license_scan._best(lesser + best) == best
