@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from reportlake.llm.kernels import _LOWER, U, mix, text_blocks
 from reportlake.llm.shared import materialize, small_or_not
 
-#: Hashed trigrams; labelled documents of a language to fit on; languages at most.
-GRAMS, SAMPLE, LANGUAGES = 1 << 14, 1500, 64
+#: Hashed trigrams; labelled documents of a language to fit on.
+GRAMS, SAMPLE = 1 << 14, 1500
 #: Trigrams of text that count in full; smoothing mass of each level of the address and of declarations.
 TEXT_GRAMS, MASS = 64, 20.0
 #: Posterior from which a row is accepted, and trigrams with a letter that it must have.
@@ -51,14 +51,17 @@ def _trigrams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _counts(languages: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), GRAMS), dtype=np.int64)
+        total: dict[int, np.ndarray] = {}
         place = {name: i for i, name in enumerate(languages)}
         for batch in batches:
             label = np.array([place[x] for x in batch.column("label").to_pylist()], dtype=np.int64)
             for i, _, buf, offs in text_blocks(batch):
                 gram, row = _trigrams(buf, offs)
-                total += np.bincount(label[i + row] * GRAMS + gram, minlength=total.size).reshape(total.shape)
-        lines = [(i, total[i].tobytes()) for i in range(len(languages)) if total[i].any()]
+                held, line = np.unique(label[i + row], return_inverse=True)
+                counts = np.bincount(line * GRAMS + gram, minlength=len(held) * GRAMS).reshape(len(held), GRAMS)
+                for k, own in zip(held.tolist(), counts, strict=True):
+                    total[k] = total[k] + own if k in total else own
+        lines = [(k, own.tobytes()) for k, own in total.items()]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in lines], pa.int32()), pa.array([x[1] for x in lines], pa.binary())], names=["language", "data"])
 
     return run
@@ -67,11 +70,11 @@ def _counts(languages: list[str]):
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities of trigrams, from ``labelled(text, label)``.
 
-    About ``sample`` rows of each of the ``LANGUAGES`` most frequent labels are
-    used, those with the smallest hashes.
+    About ``sample`` rows of each label that occurs are used, those with the
+    smallest hashes.
     """
     rows = labelled.where("label is not null and text is not null")
-    counts = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(LANGUAGES).collect()
+    counts = rows.groupBy("label").agg(F.count("*").alias("n")).collect()
     if not counts:
         return [], np.zeros((0, GRAMS))
     languages = sorted(r.label for r in counts)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_llm import rows_of, suffixes_brute, windows_brute
 
-from reportlake.llm import decontaminate, license_scan, shared, substring_dedup, suffix_family
+from reportlake.llm import decontaminate, language_id, license_scan, shared, substring_dedup, suffix_family
 
 
 def prose(draw, n, vocabulary=400):
@@ -75,3 +75,16 @@ def test_lesser_license_match_beside_many():
     best = [(0, "MIT", 1.0, 5, 100 * k, 100 * k + 30) for k in range(200)]
     lesser = [(0, "MIT", 0.8, 4, 100 * k + 10, 100 * k + 40) for k in range(200)]
     assert license_scan._best(lesser + best) == best
+
+
+def test_more_than_64_languages(spark):
+    draw = random.Random(8)
+    rows = []
+    for k in range(70):
+        words = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)]
+        rows += [(len(rows), " ".join(draw.choice(words) for _ in range(60)), f"l{k:02}") for _ in range(2 if k < 60 else 1)]
+    frame = spark.createDataFrame([(i, t, lang, "x") for i, t, lang in rows], "doc_id long, text string, lang string, source string")
+    model = language_id.fit(frame.select("text", F.col("lang").alias("label")))
+    assert model[0] == [f"l{k:02}" for k in range(70)]
+    named = language_id.identify(language_id.evidence_of_documents(frame.withColumn("lang", F.lit(None).cast("string"))), model)
+    assert {(r.doc_id, r.text_language) for r in named.collect()} == {(i, lang) for i, _, lang in rows}
