@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from test_llm import rows_of, suffixes_brute, windows_brute
 
 from reportlake.llm import decontaminate, language_id, license_scan, shared, substring_dedup, suffix_family
+from reportlake.operators import search
 
 
 def prose(draw, n, vocabulary=400):
@@ -88,3 +89,12 @@ def test_more_than_64_languages(spark):
     assert model[0] == [f"l{k:02}" for k in range(70)]
     named = language_id.identify(language_id.evidence_of_documents(frame.withColumn("lang", F.lit(None).cast("string"))), model)
     assert {(r.doc_id, r.text_language) for r in named.collect()} == {(i, lang) for i, _, lang in rows}
+
+
+def test_queries_beyond_a_block(spark, monkeypatch):
+    chunks = spark.createDataFrame([("r", str(i), i, "H", f"alpha{i % 3} beta{i % 5}") for i in range(20)], "report_ref string, chunk_id string, page int, heading string, text string")
+    queries = spark.createDataFrame([(i, f"alpha{i % 3} beta{i % 5}") for i in range(30)], "query_id long, query string")
+    scored = lambda: sorted((r.query_id, r.page, r.score) for r in search.score(chunks, queries).collect())
+    whole = scored()
+    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    assert len(whole) == 600 and scored() == whole
