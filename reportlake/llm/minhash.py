@@ -9,9 +9,11 @@ minima, at a cost of a few hashes per shingle.
 
 Sketches are banded.  Documents with equal sets are one class from the start.
 In each band's bucket the smallest class is compared with all others, then, where
-several components are left, members drawn by hash; what this leaves in separate
-components is then compared among itself, so no link is lost to the stars.  A pair whose whole sketches agree too little is no link; the rest
-are settled on full sets.
+several components are left, a member drawn by hash.  Of what these stars leave in
+separate components, pairs are formed only where two sets share one of their rarest
+shingles early enough for a link (see ``_rest``), so no link is lost and no bucket's
+pairs are written out.  A pair of a star whose whole sketches agree too little is no
+link; the rest are settled on full sets.
 """
 
 from __future__ import annotations
@@ -31,10 +33,8 @@ from reportlake.llm.shared import NO_ID, documents_of, materialize, named_id, sm
 WORDS = 5
 #: 48 bands of 5: a pair at similarity 0.75 misses all of them with a chance of 2e-6.
 BANDS, ROWS = 48, 5
-#: Pairs of different components, for each member of a bucket, up to which they are formed at once.
-PAIRWISE = 64
 #: Further rounds in which buckets of several components are compared with one drawn member.
-STARS = 3
+STARS = 1
 #: Standard deviations by which a sketch may fall short of the similarity asked for; 5 lose 3 pairs in ten million.
 SHORT = 5.0
 _SKETCHED = "doc long, tag long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"
@@ -112,9 +112,11 @@ def _sketches(words: int, bands: int, per_band: int):
                 if len(some):
                     d1[some] = np.add.reduceat(mix(value ^ U(0xA5A5A5A5)), first[some])
                     d2[some] = np.add.reduceat(mix(value + U(0x5BD1E995)), first[some])
-                    # Only the first of equal sets in a block carries bands.
-                    _, lead = np.unique(np.stack([d1[some], d2[some]], axis=1), axis=0, return_index=True)
-                    lead = np.sort(some[lead])
+                        # Of equal sets in a block only the first that has an id carries bands.
+                    ids = batch.column("doc").slice(i, j - i).to_numpy()
+                    lead = some[ids[some] < NO_ID]
+                    _, one = np.unique(np.stack([d1[lead], d2[lead]], axis=1), axis=0, return_index=True)
+                    lead = np.sort(lead[one])
                     own = value[ranges(first[lead], sizes[lead])]
                     filled = sketch(own, np.concatenate([[0], np.cumsum(sizes[lead])]), bands * per_band)
                     keys = bands_of(filled, bands, per_band)
@@ -141,7 +143,7 @@ def _sets(words: int):
             for i, j, buf, offs in text_blocks(batch):
                 value, first = shingles(buf, offs, words)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(value.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(i, j - i), lists], names=["rep", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(i, j - i), batch.column("tag").slice(i, j - i), lists], names=["rep", "tag", "set"])
 
     return run
 
@@ -180,59 +182,59 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def _star(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """In every bucket of several components, a member drawn by hash with those of other components."""
+def _tagged(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components: ``key, rep, component``."""
     tagged = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     tagged = materialize(tagged, "tagged")
-    drawn = F.xxhash64("rep", "key", F.lit(turn))
-    centers = tagged.groupBy("key").agg(F.max(F.struct(drawn.alias("h"), "rep", "component")).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    centers = centers.where("lo <> hi").select("key", F.col("c.rep").alias("center"), F.col("c.component").alias("own"))
-    pairs = tagged.join(centers, "key").where("component <> own")
-    return pairs.select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct()
+    mixed = tagged.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return materialize(tagged.join(mixed, "key"), "mixed")
 
 
-def _mixed(rows: DataFrame, *keys: str) -> DataFrame:
-    """Buckets with members of several components: how many members, and pairs of different components."""
-    cells = rows.groupBy(*keys, "component").agg(F.count("*").alias("m"))
-    sums = cells.groupBy(*keys).agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("s"), F.count("*").alias("kinds"))
-    return sums.where("kinds > 1").selectExpr(*keys, "n", "(n * n - s) div 2 as pairs")
-
-
-def _pairs_in(rows: DataFrame, *keys: str) -> DataFrame:
-    other = rows.select(*keys, F.col("rep").alias("b"), F.col("component").alias("cb"))
-    return rows.join(other, list(keys)).where("rep < b and component <> cb").select(F.col("rep").alias("a"), "b")
+def _star(mixed: DataFrame, turn: int) -> DataFrame:
+    """In every bucket of several components, a member drawn by hash with those of other components."""
+    drawn = F.xxhash64("rep", "key", F.lit(turn))
+    centers = mixed.groupBy("key").agg(F.max(F.struct(drawn.alias("h"), "rep", "component")).alias("c"))
+    centers = centers.select("key", F.col("c.rep").alias("center"), F.col("c.component").alias("own"))
+    pairs = mixed.join(centers, "key").where("component <> own")
+    return pairs.select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct()
 
 
-def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of one bucket that are in different components and meet in two bands at least.
+def _rest(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs ``(a, b)`` of different components that can still be links, and few others.
 
-    Where a bucket has many such pairs, its members are dealt out by their other
-    bands, if that leaves fewer; a pair that meets in two bands is in one of the
-    parts.
+    Shingles are put in one order, rare ones first.  Two sets of ``n`` and ``m``
+    shingles that are linked have ``k = ceil(p (n + m) / (100 + p))`` in common at
+    least, so the first shingle that they share has at most ``n - k`` before it in
+    one and ``m - k`` in the other.  Copies of one text that were edited too much,
+    or texts around one common passage, differ in just their rare shingles: they
+    share none so early, and no pair is formed.  Of a shingle's sets those of its
+    most frequent component are not compared with each other.
     """
-    tagged = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component")
+    own = mixed.select("rep", "component").distinct().join(sets, "rep").select("rep", "tag", "component", F.size("set").alias("n"), F.explode("set").alias("token"))
+    held = own.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
+    lists = own.join(held, "token").groupBy("rep", "tag", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("tokens"))
+    # Shingles of one set alone come first; of them only the number matters.
+    early = f"n - cast(ceil({percent} * n / 100) as int) + 1"
+    lists = lists.selectExpr("rep", "component", "n", "n - size(tokens) as alone", f"slice(tokens, 1, greatest(0, {early} - (n - size(tokens)))) as tokens")
+    posted = lists.select("rep", "component", "n", "alone", F.posexplode("tokens").alias("i", "t"))
+    posted = materialize(posted.selectExpr("t.token as token", "rep", "component", "n", "alone + i as pos"), "posted")
+    cells = posted.groupBy("token", "component").agg(F.count("*").alias("m"))
+    most = cells.groupBy("token").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+    some = materialize(posted.join(most.selectExpr("token", "top.component as most"), "token"), "shared")
+    minor = some.where("component <> most").selectExpr("token", "rep as a", "component as ca", "n as na", "pos as pa")
+    need = f"cast(ceil({percent} * (n + na) / {100 + percent}) as int)"
+    pairs = minor.join(some, "token").where(
+        f"component <> ca and (component = most or a < rep) and 100 * least(n, na) >= {percent} * greatest(n, na) and pos <= n - {need} and pa <= na - {need}"
     )
-    tagged = materialize(tagged, "tagged")
-    buckets = materialize(_mixed(tagged, "key"), "mixed")
-    large = buckets.where(f"pairs > {PAIRWISE} * n")
-    direct = buckets.where(f"pairs <= {PAIRWISE} * n").select("key")
-    parts = None
-    if not large.isEmpty():
-        second = tagged.select(F.col("key").alias("other"), "rep")
-        dealt = tagged.join(large.select("key"), "key").join(second, "rep").where("key <> other").select("key", "other", "rep", "component")
-        dealt = materialize(dealt, "dealt")
-        smaller = materialize(_mixed(dealt, "key", "other"), "parts")
-        sums = smaller.groupBy("key").agg(F.sum("pairs").alias("split"))
-        choice = large.join(sums, "key", "left").select("key", (F.coalesce("split", F.lit(0)) >= F.col("pairs")).alias("whole"))
-        choice = materialize(choice, "choice")
-        direct = direct.unionByName(choice.where("whole").select("key"))
-        chosen = smaller.join(choice.where("not whole").select("key"), "key").select("key", "other")
-        parts = _pairs_in(dealt.join(chosen, ["key", "other"]), "key", "other").withColumn("n", F.lit(2).cast("long"))
-    met = _pairs_in(tagged.join(direct, "key"), "key").groupBy("a", "b").agg(F.count("*").alias("n"))
-    if parts is not None:
-        met = met.unionByName(parts.distinct()).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    return met.where("n >= 2").select("a", "b")
+    return pairs.select(F.least("rep", "a").alias("a"), F.greatest("rep", "a").alias("b")).distinct()
+
+
+def _one_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between the classes of rows that share an id."""
+    sums = rows.groupBy("doc").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.min("d2").alias("lo2"), F.max("d2").alias("hi2"))
+    ids = sums.where("lo <> hi or lo2 <> hi2").select("doc")
+    held = rows.join(ids, "doc").select("doc", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"])
+    return held.where("rep <> doc").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
 
 
 def near_duplicates(
@@ -258,35 +260,32 @@ def near_duplicates(
     some = sketched.where(f"n_shingles > 0 and doc < {NO_ID}")
     classes = some.groupBy("d1", "d2").agg(F.min(F.struct("doc", "tag")).alias("one"), F.first("bands", ignorenulls=True).alias("bands"), F.first("sketch", ignorenulls=True).alias("sketch"))
     classes = materialize(classes.select("d1", "d2", F.col("one.doc").alias("rep"), F.col("one.tag").alias("rep_tag"), "bands", "sketch"), "classes")
-    # A class is named by its smallest document; rows that share an id share a name.
+    # A class is named by its smallest document; classes that share that name, or an id, are one.
     exploded = classes.select("rep", F.explode("bands").alias("key"))
     stars = exploded.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("far")).where("center <> far").select("key", "center")
     members = materialize(exploded.join(stars, "key"), "members")
     pairs = members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = materialize(_plausible(pairs, classes, similarity), "pairs")
-    wanted = materialize(members.select("rep").distinct(), "wanted")
+    members = members.select("key", "rep").distinct()
+    wanted = members.select("rep").distinct()
     source = classes.join(wanted, "rep").select("rep", F.col("rep").alias("doc"), F.col("rep_tag").alias("tag"))
     source = small_or_not(materialize(source, "source"))
-    with_sets = docs.join(source, ["doc", "tag"]).select("rep", "text").mapInArrow(_sets(words), "rep long, set array<long>")
+    with_sets = docs.join(source, ["doc", "tag"]).select("rep", "tag", "text").mapInArrow(_sets(words), "rep long, tag long, set array<long>")
     sets = materialize(with_sets, "sets")
     if sets.count() > source.count():  # repeated rows
-        sets = materialize(sets.dropDuplicates(["rep", "set"]), "sets")
-    links = materialize(_verified(pairs, sets, similarity), "links")
+        sets = materialize(sets.dropDuplicates(["rep", "tag"]), "sets")
+    links = materialize(_verified(pairs, sets, similarity).unionByName(_one_id(some, classes)), "links")
     labels = components(links)
-    for turn in range(STARS):
-        star = materialize(_plausible(_star(members.select("key", "rep"), labels, turn), classes, similarity), "star")
-        if star.isEmpty():
-            break
-        more = materialize(_verified(star, sets, similarity), "links")
-        if more.isEmpty():
+    for turn in range(STARS + 1):
+        mixed = _tagged(members, labels)
+        if mixed.isEmpty():
             break
-        links = links.unionByName(more)
-        labels = components(links)
-    rest = materialize(_plausible(_across(members.select("key", "rep").distinct(), labels), classes, similarity), "rest")
-    if not rest.isEmpty():
-        more = materialize(_verified(rest, sets, similarity), "links")
+        near = _plausible(_star(mixed, turn), classes, similarity) if turn < STARS else _rest(mixed, sets, similarity)
+        near = materialize(near, "near")
+        more = materialize(_verified(near, sets, similarity), "links")
         if not more.isEmpty():
-            labels = components(links.unionByName(more))
+            links = links.unionByName(more)
+            labels = components(links)
     named = classes.select("d1", "d2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     joined = sketched.join(named, ["d1", "d2"], "left")

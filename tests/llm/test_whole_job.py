@@ -4,9 +4,9 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from test_llm import rows_of, suffixes_brute, windows_brute
+from test_llm import near_brute, rows_of, suffixes_brute, windows_brute
 
-from reportlake.llm import decontaminate, language_id, license_scan, shared, substring_dedup, suffix_family
+from reportlake.llm import decontaminate, language_id, license_scan, minhash, shared, substring_dedup, suffix_family
 from reportlake.operators import search
 
 
@@ -98,3 +98,29 @@ def test_queries_beyond_a_block(spark, monkeypatch):
     whole = scored()
     monkeypatch.setattr(search, "QUERY_BLOCK", 7)
     assert len(whole) == 600 and scored() == whole
+
+
+def test_near_copy_of_a_row_without_id(spark):
+    """The first of equal texts has no id: its class keeps its bands."""
+    draw = random.Random(3)
+    text = prose(draw, 120, 10**6)
+    near = text.rsplit(" ", 2)[0] + " other end"
+    rows = spark.createDataFrame([(None, text), (5, text), (9, near)], "doc_id long, text string").coalesce(1)
+    assert {(r.doc_id, r.component_id, r.kept) for r in minhash.mark(rows).collect()} == {(None, None, True), (5, 5, True), (9, 5, False)}
+
+
+def test_texts_around_a_common_passage(spark):
+    """Hundreds of texts just below the limit, some pairs above it: no link is lost, few pairs are formed."""
+    draw = random.Random(12)
+    common = prose(draw, 140, 10**6)
+    texts = [common + " " + prose(draw, 22 + k % 9, 10**6) for k in range(300)]
+    texts += [t.rsplit(" ", 3)[0] + " and more" for t in texts[::25]]
+    base = prose(draw, 150, 10**6).split()
+    for k in range(200):  # copies of one text, edited here and there, many too much
+        words = list(base)
+        for _ in range(1 + k % 14):
+            words[draw.randrange(150)] = f"edit{draw.randrange(10**6)}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(minhash.mark(frame)) == near_brute(rows)
