@@ -4,11 +4,13 @@ Texts become rows of 32-bit word hashes once.  TF-IDF rows of passages, over
 hashed terms, have a low-rank basis that a randomised SVD finds in one pass
 (Nystroem's form of it): each task multiplies its passages with a random matrix of
 a few columns and back again, the products of all tasks are added up by rows of
-terms, and only the small sums reach the driver.  In that basis, scaled to equal variance and without its first
-components, which tell languages apart, every window of every text is compared
-with the benchmark items, at the size of each item and at half of it.  What is close enough and also holds
-enough of the item's rare terms is settled by a longest common subsequence,
-weighted by rarity, and by whether the item's answer occurs word for word.
+terms, and only the small sums reach the driver.  In that basis, scaled to equal variance and without the leading
+components that stand out, which tell languages apart, every window of every text
+is compared with the benchmark items.  Windows are long enough to hold an item
+whole, so one that can pass the last test holds as much of the item's term weight
+as that asks for.  What is close enough and holds that much is settled by a longest
+common subsequence, weighted by rarity, and by whether the item's answer occurs
+word for word.
 
 Benchmark items are a stated set of queries and are taken in blocks.
 """
@@ -29,18 +31,18 @@ from reportlake.llm.shared import documents_of, materialize, named_id, small_or_
 
 #: Hashed terms; rank of the basis; rows of a part of a matrix of terms.
 TERMS, RANK, PART = 1 << 14, 48, 256
-#: Words between windows, and of the smallest windows; they double up to the longest item.
+#: Words between windows. Windows are whole steps, one more than the item fills.
 STEP = 12
 #: Words of 64 bits in the signature of a window.
-LANES = 4
-#: First components left out.
-SKIP = 4
+LANES = 8
+#: Times the median singular value from which a leading component is left out.
+LEADING = 2.5
 #: Words of a passage that is a row of the TF-IDF matrix; words that a task works on at once.
 PASSAGE, CHUNK = 48, 16_000
-#: Cosine and share of an item's term weight from which a window is a candidate.
-COSINE, OVERLAP = 0.33, 0.3
+#: Cosine from which a window is a candidate, and share of an item's bits that its signature then holds.
+COSINE, SIGNED = 0.2, 0.4
 #: Weighted coverage from which a document counts as contaminated, without and with the answer.
-COVERED, COVERED_WITH_ANSWER = 0.6, 0.45
+COVERED, COVERED_WITH_ANSWER = 0.5, 0.4
 #: What a term weighs that every text holds: a passage of such terms can be found too.
 LEAST = 0.1
 #: Benchmark items compared at once; words of windows compared exactly at once.
@@ -177,10 +179,19 @@ def latent_basis(tokens: DataFrame, weight: np.ndarray, rank: int = RANK, seed:
     root = np.linalg.cholesky((inner + inner.T) / 2)
     vectors, values, _ = np.linalg.svd(np.linalg.solve(root, sketch.T).T, full_matrices=False)
     good = values > values[0] * 1e-4
-    good[: min(SKIP, good.sum() - 1)] = False
+    leading = values > LEADING * np.median(values[good])
+    if (good & ~leading).any():
+        good &= ~leading
     return (vectors[:, good] / values[good]).astype(np.float32)
 
 
+def _steps(words: int) -> int:
+    """Steps of a window that holds so many words wherever they start; from eight on in sizes a quarter apart at most."""
+    steps = -(-words // STEP) + 1
+    unit = 1 << max(0, steps.bit_length() - 3)
+    return -(-steps // unit) * unit
+
+
 class Item:
     """A benchmark item as word hashes, with its answer: the last sentence, or else the last third."""
 
@@ -196,7 +207,7 @@ class Item:
         self.bits = np.bitwise_or.reduce(_bits(own), axis=1) if len(own) else np.zeros(LANES, dtype=U)
         # Words that no text holds weigh a little too, or an item of such words would weigh nothing.
         self.weight = np.maximum(weight[self.words & (TERMS - 1)], LEAST)
-        self.scale = max(0, (-(-len(self.words) // STEP) - 1).bit_length())  # STEP << scale words hold the item
+        self.steps = _steps(len(self.words))
 
 
 def _bits(h: np.ndarray) -> np.ndarray:
@@ -205,6 +216,17 @@ def _bits(h: np.ndarray) -> np.ndarray:
     return np.stack([np.where(lane == k, bit, U(0)) for k in range(LANES)])
 
 
+def _spanned(signature: np.ndarray, steps: int) -> np.ndarray:
+    """The bits of every ``steps`` consecutive steps."""
+    out, span = signature, 1
+    while span < steps:
+        more = min(span, steps - span)
+        shifted = np.zeros_like(out)
+        shifted[:, :-more] = out[:, more:]
+        out, span = out | shifted, span + more
+    return out
+
+
 def common_subsequence(item: np.ndarray, weight: np.ndarray, text: np.ndarray) -> float:
     """The largest total weight of a common subsequence, as a share of the item's."""
     best = np.zeros(len(text) + 1)
@@ -216,7 +238,7 @@ def common_subsequence(item: np.ndarray, weight: np.ndarray, text: np.ndarray) -
 
 def _search(items: list[Item], weight: np.ndarray, basis: np.ndarray):
     projected = basis * weight[:, None].astype(np.float32)
-    by_scale = [[n for n, x in enumerate(items) if k in (x.scale, max(0, x.scale - 1))] for k in range(max(x.scale for x in items) + 1)]
+    by_steps = {k: np.array([n for n, x in enumerate(items) if x.steps == k]) for k in sorted({x.steps for x in items})}
     vectors = np.stack([projected[x.words & (TERMS - 1)].sum(axis=0) for x in items])
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     has = np.zeros((len(items), TERMS), dtype=bool)
@@ -224,8 +246,10 @@ def _search(items: list[Item], weight: np.ndarray, basis: np.ndarray):
         has[n, x.words & (TERMS - 1)] = True
     weighs = weight > 0
     bits = np.stack([x.bits for x in items], axis=1)
-    some_bits = np.ceil(0.9 * OVERLAP * np.bitwise_count(bits).sum(axis=0))
-    total = np.array([max(weight[np.unique(x.words & (TERMS - 1))].sum(), 1e-9) for x in items])
+    some_bits = np.ceil(SIGNED * np.bitwise_count(bits).sum(axis=0))
+    # What a window's words that the item has must weigh, counted with the item's own weights.
+    worth = np.maximum(weight, LEAST)
+    needed = np.array([COVERED_WITH_ANSWER * x.weight.sum() * (1 - 1e-6) for x in items])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, _, h, first in _chunks(batches):
@@ -244,30 +268,21 @@ def _search(items: list[Item], weight: np.ndarray, basis: np.ndarray):
             last = np.searchsorted(row, row, side="right")
             # Which bits occur in a window; beyond a text's end the next one's are added, which only lets more pass.
             signature = np.bitwise_or.reduceat(_bits(h), cut[:-1], axis=1)
-            spanned = 1
             found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
-            for k in range(len(by_scale)):
-                size = STEP << k
-                while spanned < size // STEP:
-                    shifted = np.zeros_like(signature)
-                    if signature.shape[1] > spanned:
-                        shifted[:, :-spanned] = signature[:, spanned:]
-                    signature, spanned = signature | shifted, spanned * 2
-                if not by_scale[k]:
-                    continue
-                own = np.array(by_scale[k])
+            for steps, own in by_steps.items():
+                size = STEP * steps
                 at = np.arange(len(row))
-                to = np.minimum(at + size // STEP, last)
+                to = np.minimum(at + steps, last)
                 # Only the first of the windows that a text's end cuts short.
-                whole = (to - at == size // STEP) | (at == 0) | (np.concatenate([[-1], row[:-1]]) != row)
+                whole = (to - at == steps) | (at == 0) | (np.concatenate([[-1], row[:-1]]) != row)
                 at, to = at[whole], to[whole]
                 z = (run_sum[to] - run_sum[at]).astype(np.float32)
                 z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
                 cosine = z @ vectors[own].T
                 a, b = np.nonzero(cosine >= COSINE)
-                met = np.zeros(len(a), dtype=np.int64)
+                signed, met = _spanned(signature, steps), np.zeros(len(a), dtype=np.int64)
                 for lane in range(LANES):
-                    met += np.bitwise_count(signature[lane][at[a]] & bits[lane][own[b]])
+                    met += np.bitwise_count(signed[lane][at[a]] & bits[lane][own[b]])
                 near = met >= some_bits[own[b]]
                 a, b = a[near], b[near]
                 at_once = max(1, CELLS // size)
@@ -275,10 +290,9 @@ def _search(items: list[Item], weight: np.ndarray, basis: np.ndarray):
                     x, n = a[s : s + at_once], own[b[s : s + at_once]]
                     lo, hi = cut[at[x]], cut[to[x]]
                     cells = lo[:, None] + np.arange(size)
-                    inside = cells < hi[:, None]
                     t = term[np.minimum(cells, len(term) - 1)]
-                    held = (has[n[:, None], t] & inside) * weight[t]
-                    good = np.flatnonzero(held.sum(axis=1) >= OVERLAP * total[n])
+                    held = np.where(has[n[:, None], t] & (cells < hi[:, None]), worth[t], np.float32(0))
+                    good = np.flatnonzero(held.sum(axis=1) >= needed[n])
                     for g in good:
                         found.setdefault((int(row[at[x[g]]]), int(n[g])), []).append((float(cosine[x[g], b[s + g]]), int(lo[g]), int(hi[g])))
             out = []
