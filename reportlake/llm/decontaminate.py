@@ -76,8 +76,13 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, buf, offs in text_blocks(batch):
             w, h = token_hashes(buf, offs)
-            once = np.unique(w.doc * TERMS + (h & (TERMS - 1)))
-            counts += np.bincount(once % TERMS, minlength=TERMS)
+            term = (h & (TERMS - 1)).astype(np.int64)
+            for a in range(0, j - i, 128):  # marks for some texts at a time: cheaper than sorting their words
+                b = min(j - i, a + 128)
+                own = slice(w.first[a], w.first[b])
+                held = np.zeros((b - a) * TERMS, dtype=np.uint8)
+                held[(w.doc[own] - a) * TERMS + term[own]] = 1
+                counts += held.reshape(b - a, TERMS).sum(axis=0, dtype=np.uint8)
             n = j - i
             yield pa.RecordBatch.from_arrays(
                 [
@@ -130,35 +135,38 @@ def _pieces(first: np.ndarray, size: int) -> np.ndarray:
 
 
 def _multiplied(weight: np.ndarray, matrix: np.ndarray):
-    """``A' A matrix`` for the passages ``A`` of a task."""
+    """``A' A matrix`` for the passages ``A`` of a task, whose rows have length one."""
+    weighed = (matrix * weight[:, None]).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(matrix.shape, dtype=np.float64)
-        some = False
+        total = np.zeros(matrix.shape[::-1], dtype=np.float64)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def add() -> None:
+            """The passages' products go back to the terms, a column at a time."""
+            term = np.concatenate([t for t, _, _ in held]).astype(np.int64)
+            before = np.cumsum([0] + [len(rows) for _, _, rows in held])
+            of = np.concatenate([own + n for (_, own, _), n in zip(held, before, strict=False)])
+            for k, column in enumerate(np.concatenate([rows for _, _, rows in held]).T.astype(np.float64, order="C")):
+                total[k] += np.bincount(term, weights=column[of], minlength=TERMS)
+            held.clear()
+
         for _, _, _, h, first in _chunks(batches):
-            if not len(h):
-                continue
-            some = True
             term = (h & (TERMS - 1)).astype(np.uint16)
             cut = _pieces(first, PASSAGE)
             of = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-            keep = np.flatnonzero(weight[term] > 0)
-            if not len(keep):
+            if not len(of):
                 continue
-            term, of = term[keep], of[keep]
+            starts = cut[:-1]
             w = weight[term]
-            starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-            length = np.sqrt(np.add.reduceat(w * w, starts))
-            dense = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(of))))
-            w = (w / length[dense]).astype(np.float32)
-            rows = np.add.reduceat(matrix[term] * w[:, None], starts, axis=0)
-            order = np.argsort(term, kind="stable")
-            back = rows[dense[order]] * w[order, None]
-            sorted_terms = term[order]
-            at = np.flatnonzero(np.concatenate([[True], sorted_terms[1:] != sorted_terms[:-1]]))
-            total[sorted_terms[at]] += np.add.reduceat(back, at, axis=0)
-        if some:
-            yield _parts(2, total.astype(np.float32))
+            square = np.maximum(np.add.reduceat(w * w, starts), np.float32(1e-30))
+            held.append((term, of, np.add.reduceat(weighed[term], starts, axis=0) / square[:, None]))
+            if len(held) == 4:
+                add()
+        if held:
+            add()
+        if total.any():
+            yield _parts(2, (total.T * weight[:, None]).astype(np.float32))
 
     return run
 
