@@ -1,23 +1,21 @@
 """Suffix-array dedup with a logarithmic family of levels.
 
-Suffixes are compared to the depth that matters, the 50 bytes of a match.  The
-suffix array of a block of texts holds suffix starts ordered by their first
-eight bytes and, among those alike, by a fingerprint of all 50; suffixes that
-match meet in it.  Between blocks the suffix space is cut into slices by
-fingerprint, not alphabetically, so that a common opening is not one slice's
-burden, and a slice's arrays are in the order of the fingerprint.  In each slice
-documents arrive in batches by ascending id.  A batch gets its suffix array, is
-merge-scanned against every level there is, which hold smaller documents only,
-and becomes a level; levels of equal size merge, so each suffix is merged a
-logarithmic number of times.
+Suffixes are compared to the depth that matters, the 50 bytes of a match, byte by
+byte.  In each slice of the suffix space documents arrive in batches by ascending
+id.  A batch gets its suffix array, in text order, and is merge-scanned against
+every level there is, which hold smaller documents only (or the first one's own);
+then it becomes a level, and levels of equal size merge, so each suffix is merged
+a logarithmic number of times.
 
 Not every suffix has to travel.  Of 35 consecutive suffixes the one whose first
 16 bytes hash lowest is sampled; which one that is depends on those 50 bytes
 alone, so equal windows sample the same suffix.  The first round exchanges the
-sampled suffixes with a fingerprint of all the text that they stand for.  Where
-that is equal to a smaller document's, all its windows are; where only the first
-16 bytes are, the edge of a match may lie within, and the second round exchanges
-the suffixes one by one.
+sampled suffixes: a fingerprint of their 16 bytes, and one of all the text that
+they stand for.  Where both are a smaller document's, all its windows are; where
+only the first is, the edge of a match may lie within.  The second round brings the
+text of such edges together, by the 16 bytes that they share, and the suffix
+arrays decide.  Where very many different edges share their 16 bytes, each suffix
+travels with its 50 bytes alone, so no slice grows with them.
 """
 
 from __future__ import annotations
@@ -38,7 +36,10 @@ from reportlake.llm.shared import bucket_count, documents_of, materialize, named
 #: First bytes by which a sampled suffix is chosen and grouped.
 GRAM = 16
 #: Suffixes of a batch within a slice.
-BATCH_SUFFIXES = 1 << 15
+BATCH_SUFFIXES = 1 << 17
+#: Different edges with the same first bytes up to which they meet in one slice; beyond it suffix by suffix.
+SLICED = 256
+_HOT = 1 << 20
 
 COVERED, EDGE = 0, 1
 RESULT = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -48,57 +49,54 @@ _LONG_TEXT = 24 << 20
 
 
 class Levels:
-    """Sorted arrays of suffix keys with the smallest document of each, in geometric sizes."""
+    """Suffix arrays, each in text order with the smallest document of every suffix, in geometric sizes."""
 
     def __init__(self) -> None:
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def smallest(self, keys: np.ndarray) -> np.ndarray:
-        """Merge-scan: the smallest document that holds each of the sorted ``keys``."""
-        best = np.full(len(keys), np.iinfo(np.int64).max)
+    def smallest(self, suffixes: np.ndarray) -> np.ndarray:
+        """Merge-scan: the smallest document that holds each of the sorted ``suffixes``."""
+        best = np.full(len(suffixes), np.iinfo(np.int64).max)
         for held, docs in self.levels:
-            at = np.searchsorted(held, keys)
+            at = np.searchsorted(held, suffixes)
             at[at == len(held)] = 0
-            hit = held[at] == keys
+            hit = held[at] == suffixes
             best[hit] = np.minimum(best[hit], docs[at[hit]])
         return best
 
-    def add(self, keys: np.ndarray, docs: np.ndarray) -> None:
-        """A new level of sorted distinct keys; equal-sized levels merge until sizes differ."""
-        self.levels.append((keys, docs))
+    def add(self, suffixes: np.ndarray, docs: np.ndarray) -> None:
+        """A new level of sorted distinct suffixes; equal-sized levels merge until sizes differ."""
+        self.levels.append((suffixes, docs))
         while len(self.levels) > 1 and _size_class(self.levels[-2][0]) <= _size_class(self.levels[-1][0]):
             (a, da), (b, db) = self.levels[-2:]
-            keys, docs = np.concatenate([a, b]), np.concatenate([da, db])
-            order = np.lexsort((docs, keys))
-            keys, docs = keys[order], docs[order]
-            starts, _ = groups_of(keys)
-            self.levels[-2:] = [(keys[starts], docs[starts])]
+            suffixes, docs = np.concatenate([a, b]), np.concatenate([da, db])
+            order = np.argsort(suffixes, kind="stable")  # two runs: merged in one pass
+            starts, _ = groups_of(suffixes[order])
+            self.levels[-2:] = [(suffixes[order][starts], np.minimum.reduceat(docs[order], starts))]
 
 
-def _size_class(keys: np.ndarray) -> int:
-    return int(max(len(keys), 1)).bit_length()
+def _size_class(suffixes: np.ndarray) -> int:
+    return int(max(len(suffixes), 1)).bit_length()
 
 
-def smaller_holders(keys: np.ndarray, docs: np.ndarray, batch: int = BATCH_SUFFIXES) -> np.ndarray:
-    """For each entry the smallest document that holds its key, through the family.
+def smaller_holders(suffixes: np.ndarray, docs: np.ndarray, batch: int = BATCH_SUFFIXES) -> np.ndarray:
+    """For each suffix the smallest document that holds it, through the family.
 
-    Batches end where a document does, so all entries in the levels belong to
-    smaller documents than the batch's, or to copies of its first one.
+    Documents come by ascending id in batches of about ``batch`` suffixes, each
+    with its suffix array.  A document may continue in the next batch; what the
+    levels hold of it then is no smaller document's.
     """
-    best = np.empty(len(keys), dtype=np.int64)
+    best = np.empty(len(suffixes), dtype=np.int64)
     by_doc = np.argsort(docs, kind="stable")
-    family, done = Levels(), 0
-    while done < len(keys):
-        end = min(done + batch, len(keys))
-        rows = by_doc[done:end]
-        order = np.lexsort((docs[rows], keys[rows]))
-        rows = rows[order]
-        starts, group = groups_of(keys[rows])
-        distinct, first = keys[rows][starts], docs[rows][starts]
+    family = Levels()
+    for done in range(0, len(suffixes), batch):
+        rows = by_doc[done : done + batch]
+        rows = rows[np.argsort(suffixes[rows], kind="stable")]  # documents stay in order among equal suffixes
+        starts, group = groups_of(suffixes[rows])
+        distinct, first = suffixes[rows][starts], docs[rows][starts]
         held = np.minimum(family.smallest(distinct), first)
         best[rows] = held[group]
         family.add(distinct, first)
-        done = end
     return best
 
 
@@ -203,60 +201,102 @@ def _settle_samples(table: pa.Table, buckets: int) -> pa.Table:
     e, g = unpack(rest), unpacked(rest.column("g"), np.uint64)
     out = [found(own, COVERED, buckets)] if len(own["k"]) else []
     if len(g):
-        held = smaller_holders(e["k"], e["d"])
-        covered = held < e["d"]
+        order = np.lexsort((e["d"], e["k"], g))
+        e, g = take(e, order), g[order]
+        new = np.ones(len(g), dtype=bool)
+        new[1:] = (g[1:] != g[:-1]) | (e["k"][1:] != e["k"][:-1])
+        starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+        covered = e["d"] > e["d"][starts][group]
         if covered.any():
             out.append(found(take(e, np.flatnonzero(covered)), COVERED, buckets))
-        order = np.lexsort((e["d"], g))
-        e, g, covered = take(e, order), g[order], covered[order]
         starts, group = groups_of(g)
         low, high = np.minimum.reduceat(e["k"], starts), np.maximum.reduceat(e["k"], starts)
         one, other = np.minimum.reduceat(e["d"], starts), np.maximum.reduceat(e["d"], starts)
         edge = ((low != high) & (one != other))[group] & ~covered
         if edge.any():
+            many = np.add.reduceat(edge.astype(np.int64), starts) > SLICED
+            e["x"] = e["x"] + np.where(many[group], _HOT, 0).astype(e["x"].dtype)
             out.append(found(take(e, np.flatnonzero(edge)), EDGE, buckets))
     return pa.Table.from_batches(out or [no_found()])
 
 
+_EDGES = pa.schema([("bucket", pa.int32()), *[(f, pa.binary()) for f in "dtpx"], ("text", pa.binary())])
+EDGES = "bucket int, d binary, t binary, p binary, x binary, text binary"
+
+
 def _send_suffixes(match: int, buckets: int):
-    """Second round: every suffix of the edges; the text comes with them."""
+    """Second round: the text of every edge; that of hot ones suffix by suffix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = batch.column("doc").to_numpy()
-            tag = batch.column("tag").to_numpy()
+            doc, tag = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
             firsts, more = batch.column("firsts"), batch.column("more")
             for i, j, buf, offs in text_blocks(batch):
-                at = []
-                for row in range(i, j):
-                    p = np.frombuffer(firsts[row].as_buffer(), dtype=np.int32).astype(np.int64)
-                    x = np.frombuffer(more[row].as_buffer(), dtype=np.int32).astype(np.int64)
-                    at.append(np.unique(ranges(p, x + 1)) + offs[row - i])
-                here = np.concatenate(at)
-                of = np.repeat(np.arange(i, j), [len(a) for a in at])
+                own = slice(i, j)
+                n = np.array([len(v.as_buffer()) // 4 for v in firsts[own]], dtype=np.int64)
+                p, x = unpacked(firsts[own], np.int32).astype(np.int64), unpacked(more[own], np.int32).astype(np.int64)
+                of = np.repeat(np.arange(j - i), n)
+                hot = x >= _HOT
+                x = np.where(hot, x - _HOT, x)
+                # A hot edge becomes its suffixes.
+                parts = np.where(hot, x + 1, 1)
+                p = np.repeat(p, parts) + ranges(np.zeros_like(parts), parts)
+                of, x, hot = np.repeat(of, parts), np.repeat(np.where(hot, 0, x), parts), np.repeat(hot, parts)
+                at = p + offs[of]
                 prefix = Prefix(buf)
-                # The eight bytes first, most significant to the left, then the rest by fingerprint.
-                lead = np.zeros(len(here), dtype=U)
-                for b in range(8):
-                    lead = (lead << U(8)) | buf[here + b].astype(U)
-                e = {"k": mix(prefix.raw(here, here + match)), "d": doc[of], "t": tag[of], "p": here - offs[of - i], "x": np.zeros(len(here), np.int32)}
-                order = np.lexsort((e["d"], e["k"], lead))
-                e = take(e, order)
-                starts, group = groups_of(e["k"])
-                known = e["d"] > e["d"][starts][group]
-                yield from pack(take(e, np.flatnonzero(known)), True, buckets)
-                yield from pack(take(e, np.flatnonzero(~known)), False, buckets)
+                key = mix(prefix.raw(at, at + match))
+                whole = np.flatnonzero(~hot)
+                if len(whole):  # the sampled suffix of these: the lowest of the first bytes that all their windows hold
+                    key[whole] = _owners(prefix, at[whole], x[whole], match)
+                yield from _edge_rows(buf, key, {"d": doc[i + of], "t": tag[i + of], "p": p, "x": x}, at, match, buckets)
 
     return run
 
 
-def _settle_suffixes(table: pa.Table, buckets: int) -> pa.Table:
-    known = table.column("known")
-    own, e = unpack(table.filter(known)), unpack(table.filter(pc.invert(known)))
-    covered = smaller_holders(e["k"], e["d"]) < e["d"]
-    e = take(e, np.flatnonzero(covered))
-    both = {f: np.concatenate([e[f], own[f]]) for f in FIELDS}
-    return pa.Table.from_batches([found(both, COVERED, buckets) if len(both["k"]) else no_found()])
+def _owners(prefix: Prefix, at: np.ndarray, x: np.ndarray, match: int) -> np.ndarray:
+    """Fingerprints of the first bytes by which the runs of windows at ``at`` were sampled."""
+    wide = match - GRAM + 1 - x
+    cells = ranges(at + x, wide)
+    gram = mix(prefix.raw(cells, cells + GRAM)) & ~U((1 << _INDEX_BITS) - 1)
+    return np.minimum.reduceat(gram, np.cumsum(wide) - wide)
+
+
+def _edge_rows(buf: np.ndarray, key: np.ndarray, e: Entries, at: np.ndarray, match: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    if not len(key):
+        return
+    bucket = ((mix(key) >> U(17)) % U(buckets)).astype(np.int32)
+    order = np.lexsort((e["d"], bucket))
+    starts, _ = groups_of(bucket[order])
+    cuts = np.append(starts, len(order))
+    size = (e["x"] + match)[order]
+    text, ends = buf[ranges(at[order], size)], np.concatenate([[0], np.cumsum(size)])
+    columns = [pa.array(bucket[order][starts], pa.int32())] + [_cut(e[f].astype(FIELDS[f], copy=False)[order], cuts) for f in "dtpx"]
+    yield pa.RecordBatch.from_arrays([*columns, _cut(text, ends[cuts])], schema=_EDGES)
+
+
+def _settle_suffixes(table: pa.Table, match: int, buckets: int) -> pa.Table:
+    """Which suffixes of a slice's edges a smaller document holds, as runs."""
+    e = {f: unpacked(table.column(f), FIELDS[f]) for f in "dtpx"}
+    text = unpacked(table.column("text"), np.uint8) + np.uint8(1)  # UTF-8 has no byte 255, and a key must not end in 0
+    n = e["x"].astype(np.int64) + 1
+    if not len(n):
+        return pa.Table.from_batches([no_found()])
+    size = n + match - 1
+    at = ranges(np.cumsum(size) - size, n)
+    of = np.repeat(np.arange(len(n)), n)
+    suffixes = np.lib.stride_tricks.sliding_window_view(text, match)[at].view(f"S{match}").ravel()
+    covered = smaller_holders(suffixes, e["d"][of]) < e["d"][of]
+    new = covered.copy()
+    new[1:] &= ~covered[:-1] | (of[1:] != of[:-1])
+    last = covered.copy()
+    last[:-1] &= ~covered[1:] | (of[1:] != of[:-1])
+    first, last = np.flatnonzero(new), np.flatnonzero(last)
+    if not len(first):
+        return pa.Table.from_batches([no_found()])
+    row = of[first]
+    start = (np.cumsum(n) - n)[row]
+    runs = {"d": e["d"][row], "t": e["t"][row], "p": e["p"][row] + (first - start), "x": last - first}
+    return pa.Table.from_batches([found(runs, COVERED, buckets)])
 
 
 def _keep(match: int, texts: bool):
@@ -305,8 +345,8 @@ def covered_windows(docs: DataFrame, match: int = 50) -> DataFrame:
     first = materialize(docs.mapInArrow(_send_samples(match, buckets), sent).groupBy("bucket").applyInArrow(lambda t: _settle_samples(t, buckets), FOUND), "samples")
     names = ["doc", "tag", F.col("p").alias("firsts"), F.col("x").alias("more")]
     edges = materialize(places(first.where(F.col("kind") == EDGE)).select(*names), "edges")
-    sent = docs.join(edges, ["doc", "tag"]).mapInArrow(_send_suffixes(match, buckets), PACKED)
-    second = materialize(sent.groupBy("bucket").applyInArrow(lambda t: _settle_suffixes(t, buckets), FOUND), "suffixes")
+    sent = docs.join(edges, ["doc", "tag"]).mapInArrow(_send_suffixes(match, buckets), EDGES)
+    second = materialize(sent.groupBy("bucket").applyInArrow(lambda t: _settle_suffixes(t, match, buckets), FOUND), "suffixes")
     del sent
     return places(first.where(F.col("kind") == COVERED).unionByName(second)).select(*names)
 
