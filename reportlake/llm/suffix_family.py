@@ -11,8 +11,9 @@ Not every suffix has to travel.  Of 35 consecutive suffixes the one whose first
 16 bytes hash lowest is sampled; which one that is depends on those 50 bytes
 alone, so equal windows sample the same suffix.  The first round exchanges the
 sampled suffixes: a fingerprint of their 16 bytes, and one of all the text that
-they stand for.  Where both are a smaller document's, all its windows are; where
-only the first is, the edge of a match may lie within.  The second round brings the
+they stand for.  Where both are a smaller document's, all its windows are.  A match
+of 50 bytes around the 16 holds 17 more before or behind them, so where fingerprints
+of those agree too, the edge of a match may lie within.  The second round brings the
 text of such edges together, by the 16 bytes that they share, and the suffix
 arrays decide.  Where very many different edges share their 16 bytes, each suffix
 travels with its 50 bytes alone, so no slice grows with them.
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportlake.llm.kernels import BLOCK_BYTES, Prefix, U, groups_of, mix, ranges, sliding_min, text_blocks, text_of
-from reportlake.llm.repeats import FIELDS, FOUND, PACKED, Entries, _cut, _PACKED, found, no_found, pack, places, take, unpack, unpacked
+from reportlake.llm.repeats import FIELDS, FOUND, Entries, _cut, found, no_found, places, take, unpacked
 from reportlake.llm.shared import bucket_count, documents_of, materialize, named_id
 
 #: First bytes by which a sampled suffix is chosen and grouped.
@@ -38,7 +39,7 @@ GRAM = 16
 #: Suffixes of a batch within a slice.
 BATCH_SUFFIXES = 1 << 17
 #: Different edges with the same first bytes up to which they meet in one slice; beyond it suffix by suffix.
-SLICED = 256
+SLICED = 1024
 _HOT = 1 << 20
 
 COVERED, EDGE = 0, 1
@@ -119,13 +120,15 @@ def sampled(buf: np.ndarray, offs: np.ndarray, match: int) -> Entries:
     """The sampled suffixes of a block.
 
     ``g`` and ``k`` are fingerprints of the first bytes and of all text that the
-    suffix stands for; ``row`` is the document's, ``p`` the first window's start
-    in it, ``x`` how many more windows follow.
+    suffix stands for, ``l`` and ``r`` of the first bytes with as many before or
+    behind them as a window holds at least on one side, 0 where no window does;
+    ``row`` is the document's, ``p`` the first window's start in it, ``x`` how
+    many more windows follow.
     """
     n, wide = len(buf), match - GRAM + 1
     empty = np.zeros(0, dtype=np.int64)
     if n < match:
-        return {"g": empty.astype(U), "k": empty.astype(U), "row": empty, "p": empty, "x": empty}
+        return {f: empty.astype(U if f in "gklr" else np.int64) for f in ("g", "k", "l", "r", "row", "p", "x")}
     prefix = Prefix(buf)
     grams = mix(prefix.every(GRAM))
     low = U((1 << _INDEX_BITS) - 1)
@@ -142,8 +145,12 @@ def sampled(buf: np.ndarray, offs: np.ndarray, match: int) -> Entries:
     last = np.flatnonzero(last_of)
     at = owner[first]
     row = row_of[first]
+    half = (match - GRAM + 1) // 2
+    left, right = at - half >= first, last + match >= at + GRAM + half
     return {
         "g": mix(prefix.raw(at, at + GRAM)),
+        "l": np.where(left, mix(prefix.raw(np.where(left, at - half, at), at + GRAM)), U(0)),
+        "r": np.where(right, mix(prefix.raw(at, np.where(right, at + GRAM + half, at))), U(0)),
         "k": mix(prefix.raw(first, last + match) + mix((last - first).astype(U) + U(1))),
         "row": row,
         "p": first - offs[row],
@@ -163,63 +170,93 @@ def _send_samples(match: int, buckets: int):
                 for i, j, lo, hi in _segments(offs, i, j):
                     cut = np.clip(offs[i : j + 1] - offs[i], lo, hi) - lo
                     s = sampled(buf[offs[i] + lo : offs[i] + hi], cut, match)
-                    e = {"k": s["k"], "d": doc[i + s["row"]], "t": tag[i + s["row"]], "p": s["p"] + lo, "x": s["x"]}
-                    order = np.lexsort((e["d"], e["k"]))
-                    e, g = take(e, order), s["g"][order]
-                    starts, group = groups_of(e["k"])
+                    e = {f: s[f] for f in "kglr"} | {"d": doc[i + s["row"]], "t": tag[i + s["row"]], "p": s["p"] + lo, "x": s["x"]}
+                    e = take(e, np.lexsort((e["d"], e["k"], e["g"])))
+                    starts, group = _runs_of(e["g"], e["k"])
                     known = e["d"] > e["d"][starts][group]
-                    yield from _with_grams(take(e, np.flatnonzero(known)), g[known], True, buckets)
-                    yield from _with_grams(take(e, np.flatnonzero(~known)), g[~known], False, buckets)
+                    yield from _packed(take(e, np.flatnonzero(known)), True, buckets)
+                    yield from _packed(take(e, np.flatnonzero(~known)), False, buckets)
 
     return run
 
 
-def _with_grams(e: Entries, g: np.ndarray, known: bool, buckets: int) -> Iterator[pa.RecordBatch]:
-    """``pack`` by the first bytes' fingerprint, which travels along as a column of its own."""
-    if not len(g):
+def _runs_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``groups_of`` for rows sorted by several keys."""
+    new = np.zeros(len(keys[0]), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+#: Fingerprints of a sample as they travel; within a bucket half of the bits tell first bytes apart.
+PRINTS = {"k": np.uint64, "g": np.uint32, "l": np.uint32, "r": np.uint32}
+SAMPLES = "bucket int, known boolean, n int, k binary, g binary, l binary, r binary, d binary, t binary, p binary, x binary"
+_SAMPLES = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("n", pa.int32()), *[(f, pa.binary()) for f in "kglrdtpx"]])
+
+
+def _packed(e: Entries, known: bool, buckets: int) -> Iterator[pa.RecordBatch]:
+    """One row per bucket of first bytes. Known entries need no partner: they spread by document, without fingerprints."""
+    if not len(e["g"]):
         return
-    spread = mix(e["d"].astype(U) + U(77)) if known else g
+    spread = mix(e["d"].astype(U) + U(77)) if known else e["g"]
     bucket = ((spread >> U(17)) % U(buckets)).astype(np.int32)
-    order = np.lexsort((e["d"], bucket))
-    bucket = bucket[order]
+    order = np.lexsort((e["p"], e["t"], e["d"], bucket))
+    bucket, e = bucket[order], take(e, order)
     starts, _ = groups_of(bucket)
     cuts = np.append(starts, len(bucket))
-    columns = [pa.array(bucket[starts], pa.int32()), pa.array(np.full(len(starts), known))]
-    if known:
-        e = e | {"k": np.zeros_like(e["k"])}
-    columns += [_cut(e[f].astype(kind, copy=False)[order], cuts) for f, kind in FIELDS.items()]
-    sent = np.zeros(0, dtype=U) if known else g[order]
-    columns.append(_cut(sent, np.zeros_like(cuts) if known else cuts))
-    yield pa.RecordBatch.from_arrays(columns, schema=_PACKED.append(pa.field("g", pa.binary())))
+    columns = [pa.array(bucket[starts], pa.int32()), pa.array(np.full(len(starts), known)), pa.array(np.diff(cuts).astype(np.int32))]
+    for f, kind in PRINTS.items():
+        # Bits that did not choose the bucket.
+        values = e[f] if kind is np.uint64 else (e[f] & U(0xFFFFFFFF) if f != "g" else mix(e[f]) >> U(32)).astype(kind)
+        columns.append(_cut(values[:0], np.zeros_like(cuts)) if known else _cut(values, cuts))
+    for f in "dtpx":
+        values = e[f].astype(FIELDS[f], copy=False)
+        columns.append(pa.array([pa.compress(values[a:b].tobytes(), codec="zstd", asbytes=True) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
+    yield pa.RecordBatch.from_arrays(columns, schema=_SAMPLES)
+
+
+def _unpacked_samples(table: pa.Table) -> Entries:
+    n = table.column("n").to_pylist()
+    e = {f: unpacked(table.column(f), kind) for f, kind in PRINTS.items()}
+    for f in "dtpx":
+        width = np.dtype(FIELDS[f]).itemsize
+        parts = [np.frombuffer(pa.decompress(v.as_buffer(), decompressed_size=m * width, codec="zstd"), dtype=FIELDS[f]) for v, m in zip(table.column(f), n, strict=True)]
+        e[f] = np.concatenate(parts) if parts else np.zeros(0, dtype=FIELDS[f])
+    return e
 
 
 def _settle_samples(table: pa.Table, buckets: int) -> pa.Table:
-    """Covered where a smaller document has the same text; an edge where it only begins alike."""
+    """Covered where a smaller document has the same text; an edge where one has enough of it alike."""
     known = table.column("known")
-    own = unpack(table.filter(known))
-    rest = table.filter(pc.invert(known))
-    e, g = unpack(rest), unpacked(rest.column("g"), np.uint64)
-    out = [found(own, COVERED, buckets)] if len(own["k"]) else []
-    if len(g):
-        order = np.lexsort((e["d"], e["k"], g))
-        e, g = take(e, order), g[order]
-        new = np.ones(len(g), dtype=bool)
-        new[1:] = (g[1:] != g[:-1]) | (e["k"][1:] != e["k"][:-1])
-        starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+    own, e = _unpacked_samples(table.filter(known)), _unpacked_samples(table.filter(pc.invert(known)))
+    out = [found(take({f: own[f] for f in "dtpx"}, np.arange(len(own["d"]))), COVERED, buckets)] if len(own["d"]) else []
+    if len(e["g"]):
+        e = take(e, np.lexsort((e["d"], e["k"], e["g"])))
+        starts, group = _runs_of(e["g"], e["k"])
         covered = e["d"] > e["d"][starts][group]
         if covered.any():
             out.append(found(take(e, np.flatnonzero(covered)), COVERED, buckets))
-        starts, group = groups_of(g)
-        low, high = np.minimum.reduceat(e["k"], starts), np.maximum.reduceat(e["k"], starts)
-        one, other = np.minimum.reduceat(e["d"], starts), np.maximum.reduceat(e["d"], starts)
-        edge = ((low != high) & (one != other))[group] & ~covered
+        edge = ~covered & (_alike(e, "l") | _alike(e, "r"))
         if edge.any():
+            starts, group = groups_of(e["g"])
             many = np.add.reduceat(edge.astype(np.int64), starts) > SLICED
-            e["x"] = e["x"] + np.where(many[group], _HOT, 0).astype(e["x"].dtype)
+            e["x"] = e["x"] + np.where(many[group], _HOT, 0).astype(np.int32)
             out.append(found(take(e, np.flatnonzero(edge)), EDGE, buckets))
     return pa.Table.from_batches(out or [no_found()])
 
 
+def _alike(e: Entries, side: str) -> np.ndarray:
+    """Entries whose first bytes and those on one side are in different texts of different documents."""
+    order = np.lexsort((e["k"], e[side], e["g"]))
+    starts, group = _runs_of(e["g"][order], e[side][order])
+    k, d = e["k"][order], e["d"][order]
+    mixed = (k[starts] != np.maximum.reduceat(k, starts)) & (np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)) & (e[side][order][starts] != 0)
+    out = np.zeros(len(order), dtype=bool)
+    out[order] = mixed[group]
+    return out
+
+
 _EDGES = pa.schema([("bucket", pa.int32()), *[(f, pa.binary()) for f in "dtpx"], ("text", pa.binary())])
 EDGES = "bucket int, d binary, t binary, p binary, x binary, text binary"
 
@@ -341,8 +378,7 @@ def _runs(gone: np.ndarray) -> list[dict[str, int]]:
 def covered_windows(docs: DataFrame, match: int = 50) -> DataFrame:
     """``(doc, tag, firsts, more)``: runs of window starts that a smaller document holds too."""
     buckets = bucket_count(docs, 8)
-    sent = PACKED + ", g binary"
-    first = materialize(docs.mapInArrow(_send_samples(match, buckets), sent).groupBy("bucket").applyInArrow(lambda t: _settle_samples(t, buckets), FOUND), "samples")
+    first = materialize(docs.mapInArrow(_send_samples(match, buckets), SAMPLES).groupBy("bucket").applyInArrow(lambda t: _settle_samples(t, buckets), FOUND), "samples")
     names = ["doc", "tag", F.col("p").alias("firsts"), F.col("x").alias("more")]
     edges = materialize(places(first.where(F.col("kind") == EDGE)).select(*names), "edges")
     sent = docs.join(edges, ["doc", "tag"]).mapInArrow(_send_suffixes(match, buckets), EDGES)
