@@ -20,6 +20,8 @@ BLOCK_BYTES = 3 << 20
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_BASE = 0xD6E8FEB86659FD93 | 1
+#: For a second fingerprint of the same words.
+OTHER_BASE = 0xC2B2AE3D27D4EB4F | 1
 
 
 class _Cache(dict):
@@ -101,8 +103,8 @@ class Prefix:
         return h
 
 
-def word_prefix(hashes: np.ndarray) -> Prefix:
-    return Prefix(hashes, _WORD_BASE)
+def word_prefix(hashes: np.ndarray, base: int = _WORD_BASE) -> Prefix:
+    return Prefix(hashes, base)
 
 
 def text_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -22,10 +22,10 @@ from reportlake.llm.kernels import U, groups_of, mix
 
 #: Packed columns of an entry. x holds what an operator needs beside the position.
 FIELDS = {"k": np.uint64, "d": np.int64, "t": np.int64, "p": np.int32, "x": np.int32}
-PACKED = "bucket int, known boolean, " + ", ".join(f"{f} binary" for f in FIELDS)
+PACKED = "bucket int, known boolean, n int, " + ", ".join(f"{f} binary" for f in FIELDS)
 FOUND = "kind int, part int, d binary, t binary, p binary, x binary"
 PLACES = "doc long, tag long, p binary, x binary"
-_PACKED = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), *[(f, pa.binary()) for f in FIELDS]])
+_PACKED = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("n", pa.int32()), *[(f, pa.binary()) for f in FIELDS]])
 _FOUND = pa.schema([("kind", pa.int32()), ("part", pa.int32()), *[(f, pa.binary()) for f in "dtpx"]])
 _PLACES = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("p", pa.binary()), ("x", pa.binary())])
 
@@ -48,16 +48,27 @@ def pack(e: Entries, known: bool, buckets: int) -> Iterator[pa.RecordBatch]:
     if not len(e["k"]):
         return
     e = {f: e[f].astype(kind, copy=False) for f, kind in FIELDS.items()}
-    if known:
-        e["k"] = np.zeros_like(e["k"])
     spread = mix(e["d"].astype(U) + U(77)) if known else e["k"]
     bucket = ((spread >> U(17)) % U(buckets)).astype(np.int32)
-    order = np.lexsort((e["d"], bucket))
-    bucket = bucket[order]
+    order = np.lexsort((e["p"], e["d"], bucket))
+    bucket, e = bucket[order], take(e, order)
     starts, _ = groups_of(bucket)
     cuts = np.append(starts, len(bucket))
-    columns = [pa.array(bucket[starts], pa.int32()), pa.array(np.full(len(starts), known))]
-    yield pa.RecordBatch.from_arrays(columns + [_cut(e[f][order], cuts) for f in FIELDS], schema=_PACKED)
+    columns = [pa.array(bucket[starts], pa.int32()), pa.array(np.full(len(starts), known)), pa.array(np.diff(cuts).astype(np.int32))]
+    columns.append(_cut(e["k"][:0], np.zeros_like(cuts)) if known else _cut(e["k"], cuts))
+    yield pa.RecordBatch.from_arrays(columns + [squeezed(e[f], cuts) for f in "dtpx"], schema=_PACKED)
+
+
+def squeezed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The slices of ``values`` between ``cuts``, compressed."""
+    return pa.array([pa.compress(values[a:b].tobytes(), codec="zstd", asbytes=True) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+
+
+def unsqueezed(table: pa.Table, field: str) -> np.ndarray:
+    kind, n = FIELDS[field], table.column("n").to_pylist()
+    width = np.dtype(kind).itemsize
+    parts = [np.frombuffer(pa.decompress(v.as_buffer(), decompressed_size=m * width, codec="zstd"), dtype=kind) for v, m in zip(table.column(field), n, strict=True)]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
 
 
 def unpacked(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
@@ -75,7 +86,8 @@ def unpacked(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
 
 
 def unpack(table: pa.Table) -> Entries:
-    return {f: unpacked(table.column(f), kind) for f, kind in FIELDS.items()}
+    """The entries of a bucket; known ones have no fingerprint."""
+    return {"k": unpacked(table.column("k"), np.uint64)} | {f: unsqueezed(table, f) for f in "dtpx"}
 
 
 def found(e: Entries, kind: int, buckets: int) -> pa.RecordBatch:
@@ -112,28 +124,37 @@ def places(rows: DataFrame) -> DataFrame:
     return rows.select("part", "d", "t", "p", "x").groupBy("part").applyInArrow(_by_document, PLACES)
 
 
+def runs_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``groups_of`` for rows sorted by several keys."""
+    new = np.zeros(len(keys[0]), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
 def combine_any(e: Entries) -> tuple[Entries, Entries]:
     """For fingerprints that count when they occur twice anywhere.
 
-    Returns what to send and what is known.  Of a fingerprint that occurs
-    several times in the block all occurrences are known, and one is sent with
-    ``x = 1`` so that other blocks learn of it.
+    ``x`` holds further bits of the fingerprint, the lowest left free.  Returns
+    what to send and what is known.  Of a fingerprint that occurs several times
+    in the block all occurrences are known, and one is sent with that bit set so
+    that other blocks learn of it.
     """
-    order = np.argsort(e["k"], kind="stable")
-    e = take(e, order)
-    starts, group = groups_of(e["k"])
-    many = np.diff(np.append(starts, len(order))) > 1
-    e["x"] = many[group].astype(np.int32)
-    return take(e, starts), take(e, np.flatnonzero(e["x"]))
+    e = take(e, np.lexsort((e["x"], e["k"])))
+    starts, group = runs_of(e["k"], e["x"])
+    many = np.diff(np.append(starts, len(group))) > 1
+    e["x"] = e["x"] | many[group].astype(np.int32)
+    return take(e, starts), take(e, np.flatnonzero(e["x"] & 1))
 
 
 def settle_any(e: Entries) -> Entries:
     """Entries, of one bucket, whose fingerprint other blocks hold too."""
-    order = np.argsort(e["k"], kind="stable")
-    e = take(e, order)
-    starts, group = groups_of(e["k"])
-    many = np.diff(np.append(starts, len(order))) > 1
-    return take(e, np.flatnonzero(many[group] & (e["x"] == 0)))
+    e = take(e, np.lexsort((e["x"], e["k"])))
+    starts, group = runs_of(e["k"], e["x"] >> 1)
+    many = np.diff(np.append(starts, len(group))) > 1
+    e = take(e, np.flatnonzero(many[group] & (e["x"] & 1 == 0)))
+    return e | {"x": np.zeros_like(e["x"])}
 
 
 def repeated(
@@ -146,13 +167,13 @@ def repeated(
             for e in entries(batch):
                 out, known = combine_any(e)
                 yield from pack(out, False, buckets)
-                yield from pack(known, True, buckets)
+                yield from pack(known | {"x": np.zeros_like(known["x"])}, True, buckets)
 
     def settle(table: pa.Table) -> pa.Table:
         known = table.column("known")
         e = settle_any(unpack(table.filter(pc.invert(known))))
         k = unpack(table.filter(known))
-        both = {f: np.concatenate([e[f], k[f]]) for f in FIELDS}
-        return pa.Table.from_batches([found(both, 0, buckets) if len(both["k"]) else no_found()])
+        both = {f: np.concatenate([e[f], k[f]]) for f in "dtpx"}
+        return pa.Table.from_batches([found(both, 0, buckets) if len(both["d"]) else no_found()])
 
     return rows.mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(settle, FOUND)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.llm.kernels import Words, mix, text_blocks, word_prefix
+from reportlake.llm.kernels import OTHER_BASE, U, Words, mix, text_blocks, word_prefix
 from reportlake.llm.repeats import Entries, places, repeated
 from reportlake.llm.shared import bucket_count, documents_of, materialize, named_id
 
@@ -71,9 +71,12 @@ def window_entries(window: int):
             here = np.flatnonzero(np.cumsum(near)[: len(w.doc)] > 0)
             if not len(here):
                 continue
-            h = mix(word_prefix(w.hashes(buf)).raw(here, here + window))
+            words = w.hashes(buf)
+            h = mix(word_prefix(words).raw(here, here + window))
+            # 30 bits more from a second polynomial: windows are not compared word by word.
+            more = (mix(word_prefix(words, OTHER_BASE).raw(here, here + window)) >> U(34)).astype(np.int32) << 1
             of = w.doc[here]
-            yield {"k": h, "d": tag[i + of], "t": np.zeros(len(here), np.int64), "p": here - w.first[of], "x": np.zeros(len(here), np.int32)}
+            yield {"k": h, "d": tag[i + of], "t": np.zeros(len(here), np.int64), "p": here - w.first[of], "x": more}
 
     return entries
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportlake.llm.kernels import BLOCK_BYTES, Prefix, U, groups_of, mix, ranges, sliding_min, text_blocks, text_of
-from reportlake.llm.repeats import FIELDS, FOUND, Entries, _cut, found, no_found, places, take, unpacked
+from reportlake.llm.repeats import FIELDS, FOUND, Entries, _cut, found, no_found, places, runs_of, squeezed, take, unpacked, unsqueezed
 from reportlake.llm.shared import bucket_count, documents_of, materialize, named_id
 
 #: First bytes by which a sampled suffix is chosen and grouped.
@@ -172,7 +172,7 @@ def _send_samples(match: int, buckets: int):
                     s = sampled(buf[offs[i] + lo : offs[i] + hi], cut, match)
                     e = {f: s[f] for f in "kglr"} | {"d": doc[i + s["row"]], "t": tag[i + s["row"]], "p": s["p"] + lo, "x": s["x"]}
                     e = take(e, np.lexsort((e["d"], e["k"], e["g"])))
-                    starts, group = _runs_of(e["g"], e["k"])
+                    starts, group = runs_of(e["g"], e["k"])
                     known = e["d"] > e["d"][starts][group]
                     yield from _packed(take(e, np.flatnonzero(known)), True, buckets)
                     yield from _packed(take(e, np.flatnonzero(~known)), False, buckets)
@@ -180,15 +180,6 @@ def _send_samples(match: int, buckets: int):
     return run
 
 
-def _runs_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``groups_of`` for rows sorted by several keys."""
-    new = np.zeros(len(keys[0]), dtype=bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return np.flatnonzero(new), np.cumsum(new) - 1
-
-
 #: Fingerprints of a sample as they travel; within a bucket half of the bits tell first bytes apart.
 PRINTS = {"k": np.uint64, "g": np.uint32, "l": np.uint32, "r": np.uint32}
 SAMPLES = "bucket int, known boolean, n int, k binary, g binary, l binary, r binary, d binary, t binary, p binary, x binary"
@@ -210,20 +201,12 @@ def _packed(e: Entries, known: bool, buckets: int) -> Iterator[pa.RecordBatch]:
         # Bits that did not choose the bucket.
         values = e[f] if kind is np.uint64 else (e[f] & U(0xFFFFFFFF) if f != "g" else mix(e[f]) >> U(32)).astype(kind)
         columns.append(_cut(values[:0], np.zeros_like(cuts)) if known else _cut(values, cuts))
-    for f in "dtpx":
-        values = e[f].astype(FIELDS[f], copy=False)
-        columns.append(pa.array([pa.compress(values[a:b].tobytes(), codec="zstd", asbytes=True) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
+    columns += [squeezed(e[f].astype(FIELDS[f], copy=False), cuts) for f in "dtpx"]
     yield pa.RecordBatch.from_arrays(columns, schema=_SAMPLES)
 
 
 def _unpacked_samples(table: pa.Table) -> Entries:
-    n = table.column("n").to_pylist()
-    e = {f: unpacked(table.column(f), kind) for f, kind in PRINTS.items()}
-    for f in "dtpx":
-        width = np.dtype(FIELDS[f]).itemsize
-        parts = [np.frombuffer(pa.decompress(v.as_buffer(), decompressed_size=m * width, codec="zstd"), dtype=FIELDS[f]) for v, m in zip(table.column(f), n, strict=True)]
-        e[f] = np.concatenate(parts) if parts else np.zeros(0, dtype=FIELDS[f])
-    return e
+    return {f: unpacked(table.column(f), kind) for f, kind in PRINTS.items()} | {f: unsqueezed(table, f) for f in "dtpx"}
 
 
 def _settle_samples(table: pa.Table, buckets: int) -> pa.Table:
@@ -233,7 +216,7 @@ def _settle_samples(table: pa.Table, buckets: int) -> pa.Table:
     out = [found(take({f: own[f] for f in "dtpx"}, np.arange(len(own["d"]))), COVERED, buckets)] if len(own["d"]) else []
     if len(e["g"]):
         e = take(e, np.lexsort((e["d"], e["k"], e["g"])))
-        starts, group = _runs_of(e["g"], e["k"])
+        starts, group = runs_of(e["g"], e["k"])
         covered = e["d"] > e["d"][starts][group]
         if covered.any():
             out.append(found(take(e, np.flatnonzero(covered)), COVERED, buckets))
@@ -249,7 +232,7 @@ def _settle_samples(table: pa.Table, buckets: int) -> pa.Table:
 def _alike(e: Entries, side: str) -> np.ndarray:
     """Entries whose first bytes and those on one side are in different texts of different documents."""
     order = np.lexsort((e["k"], e[side], e["g"]))
-    starts, group = _runs_of(e["g"][order], e[side][order])
+    starts, group = runs_of(e["g"][order], e[side][order])
     k, d = e["k"][order], e["d"][order]
     mixed = (k[starts] != np.maximum.reduceat(k, starts)) & (np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)) & (e[side][order][starts] != 0)
     out = np.zeros(len(order), dtype=bool)
