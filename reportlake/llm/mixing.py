@@ -1,12 +1,15 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Sources get targets in words from their weights, none above a multiple of its
-size.  Within a source every document has an expected number of copies; the
-whole part is certain, and the rest is its inclusion probability ``p``.  Pareto
-order sampling ranks documents by the odds of a uniform number over the odds of
-``p``, ``(u / (1 - u)) / (p / (1 - p))``, and takes the first until the words
-that are still missing are reached.  A document that would overshoot is left
-out, and smaller ones that still fit come from further down the same order.
+size.  Within a source every document has an expected number of copies, which
+grows with the logarithm of its length (``DOUBLINGS``) and is ``MOST_COPIES`` at
+most; together they make up the target.  The whole part is certain, and the rest
+is the document's inclusion probability ``p``.  Pareto order sampling ranks
+documents by the odds of a uniform number over the odds of ``p``,
+``(u / (1 - u)) / (p / (1 - p))``, and takes the first until the words that are
+still missing are reached: the sample's size is fixed in words.  A document that
+would overshoot is left out, and smaller ones that still fit, a few for each
+source, come from further down the same order.
 
 Where the order is cut follows from histograms, refined until a cell holds few
 documents, so no source has to pass through one task; the cut is a number per
@@ -26,6 +29,8 @@ from reportlake.llm.shared import materialize, small_or_not
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A source, and a document, is taken at most so many times.
 MOST_COPIES = 3
+#: Doublings of a document's length by which its expected copies grow by those of a single word.
+DOUBLINGS = 8
 #: Orders through a source: the first, then those that fill up what the last one left.
 ORDERS = 4
 CLOSE = 0.001
@@ -174,27 +179,52 @@ class Mix:
         )
 
 
-def _expected(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Add the certain copies and the probability of one more.
+def length_class(size: str = "size") -> Column:
+    """Doublings of a document's length: documents of a source and class are expected equally often."""
+    return F.when(F.col(size) > 0, F.floor(F.log2(F.col(size).cast("double")) + 1e-9)).otherwise(F.lit(0)).cast("int")
+
+
+def expected_copies(targeted: DataFrame, cells: DataFrame, most: int = MOST_COPIES) -> DataFrame:
+    """Add ``rates`` and ``want`` to ``targeted(source, source_size, target)``.
 
-    A document is taken as often as its source: ``target / source_size`` times.
+    ``cells(source, class, words)``.  ``rates`` has the expected copies by class:
+    a source's factor times ``1 + class / DOUBLINGS``, at most ``most``.  Classes
+    that reach it do so from the longest down, so the factor is that of the first
+    class from which on none does.  ``want`` is what certain copies leave open.
     """
-    out = _with_parameters(rows, sources, ["source"])
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(ratio + 1e-12)
-    rest = ratio - whole
-    return out.withColumn("whole", whole.cast("long")).withColumn("p", F.when(rest > 1e-9, rest).otherwise(F.lit(0.0)))
+    own = cells.groupBy(F.col("source").alias("s")).agg(F.sort_array(F.collect_list(F.struct("class", "words")), False).alias("a"))  # a class for each doubling
+    out = targeted.join(own, F.col("source").eqNullSafe(F.col("s")), "left")
+    heavy = f"(1 + a[j].class / {DOUBLINGS}D)"
+    open_from = f"aggregate(slice(a, j + 1, size(a)), 0D, (t, x) -> t + (1 + x.class / {DOUBLINGS}D) * x.words)"
+    factor = f"(target - {most} * aggregate(slice(a, 1, j), 0D, (t, x) -> t + x.words)) / nullif({open_from}, 0D)"
+    steps = out.withColumn("factors", F.expr(f"transform(sequence(0, size(a) - 1), j -> struct({factor} as c, {heavy} as m))"))
+    steps = steps.withColumn("factor", F.expr(f"element_at(filter(factors, f -> f.c * f.m <= {most} + 1e-9), 1).c"))
+    top = "array_max(transform(a, x -> x.class))"
+    rate = f"least({most}D, coalesce(factor * (1 + k / {DOUBLINGS}D), {most}D))"
+    steps = steps.withColumn("rates", F.expr(f"case when source_size > 0 then transform(sequence(0, {top}), k -> {rate}) end"))
+    want = "target - aggregate(a, 0D, (t, x) -> t + floor(rates[x.class] + 1e-12) * x.words)"
+    return steps.select("source", "source_size", "target", "rates", F.expr(f"case when source_size > 0 then {want} else 0D end").alias("want"))
+
+
+def _expected(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Add the certain copies and the probability of one more."""
+    out = _with_parameters(rows, sources.drop("want"), ["source"])
+    rate = F.coalesce(F.get("rates", length_class()), F.lit(0.0))
+    whole = F.floor(rate + 1e-12)
+    rest = rate - whole
+    return out.withColumn("whole", whole.cast("long")).withColumn("p", F.when(rest > 1e-9, rest).otherwise(F.lit(0.0))).drop("rates")
 
 
 def fit(rows: DataFrame, seed: int = 20, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES) -> Mix:
     """Targets and cuts for materialized ``rows(doc, source, size)``."""
-    sizes = rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    sources = materialize(targets(sizes, weights, most), "targets")
+    cells = rows.groupBy("source", length_class().alias("class")).agg(F.sum("size").cast("long").alias("words"))
+    cells = materialize(cells, "cells")
+    sizes = cells.groupBy("source").agg(F.sum("words").cast("long").alias("source_size"))
+    sources = materialize(expected_copies(targets(sizes, weights, most), cells, most), "targets")
     ranked = _expected(rows, sources)
     mix = Mix(sources, None, seed)
     ranked = materialize(ranked.withColumn("rank", mix.rank()).where("rank is not null").select("doc", "source", "size", "rank"), "ranked")
-    want = F.expr("target - floor(target / source_size + 1e-12) * source_size")
-    open_sources = sources.where("source_size > 0").select("source", want.alias("want"), "target")
+    open_sources = sources.where("source_size > 0").select("source", "want", "target")
     cuts = None
     for turn in range(ORDERS + 1):
         if turn:

@@ -1,12 +1,13 @@
 """Inputs that an operator once read, found or kept apart only in part."""
 
 import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 from test_llm import near_brute, rows_of, suffixes_brute, windows_brute
 
-from reportlake.llm import decontaminate, language_id, license_scan, minhash, shared, substring_dedup, suffix_family
+from reportlake.llm import decontaminate, language_id, license_scan, minhash, mixing, shared, substring_dedup, suffix_family
 from reportlake.operators import search
 
 
@@ -139,3 +140,33 @@ def test_paraphrased_items(spark, sf, edit):
     found = leaks(spark, texts + own, items)
     assert {(d, k) for d, k in found if d < len(texts)} <= {(k, k) for k in range(len(items))}
     assert sum((k, k) in found for k in range(len(items))) >= 0.9 * len(items)
+
+
+def test_inclusion_frequencies(spark):
+    """Documents are drawn as often as their expected copies say, which differ by length; words are met."""
+    draw = random.Random(17)
+    rows = [(k, draw.choice("ab"), int(2 ** draw.uniform(3, 9))) for k in range(6000)]
+    frame = spark.createDataFrame(rows, "doc long, source string, size long").repartition(4)
+    total, seeds = defaultdict(float), 2
+    for seed in range(seeds):
+        mix = mixing.fit(frame, seed)
+        rates = {r.source: (r.rates, r.target) for r in mix.sources.collect()}
+        taken = defaultdict(int)
+        for r in mix.copies(frame).collect():
+            total[r.source, r.size.bit_length() - 1] += r.copies
+            taken[r.source] += r.copies * r.size
+        assert all(abs(taken[s] - target) < 0.002 * target for s, (_, target) in rates.items())
+    for (source, k), n in total.items():
+        docs = seeds * sum(1 for _, s, size in rows if s == source and size.bit_length() - 1 == k)
+        rate = rates[source][0][k]
+        p = rate % 1
+        assert abs(n - docs * rate) <= 5 * (docs * max(p * (1 - p), 0.01)) ** 0.5 + 0.01 * docs, (source, k, n / docs, rate)
+    assert len({round(x, 6) for x in rates["b"][0]}) > 3
+
+
+def test_expected_copies_stop_at_the_most(spark):
+    cells = spark.createDataFrame([("a", 2, 100), ("a", 5, 1000), ("b", 3, 50), ("c", 0, 0)], "source string, class int, words long")
+    targeted = spark.createDataFrame([("a", 1100, 3250.0), ("b", 50, 150.0), ("c", 0, 0.0)], "source string, source_size long, target double")
+    got = {r.source: r for r in mixing.expected_copies(targeted, cells).collect()}
+    assert got["a"].rates[5] == 3.0 and abs(got["a"].rates[2] - 2.5) < 1e-9 and abs(got["a"].want - 50) < 1e-6
+    assert got["b"].rates[3] == 3.0 and got["c"].rates is None
