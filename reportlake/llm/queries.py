@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reportlake.llm import decontaminate, embedding_index, language_id, license_scan, minhash, mixing, secret_scan, substring_dedup, suffix_family, token_shards
+from reportlake.llm.oracle import ORACLE_SQL
 from reportlake.llm.shared import scratch_path
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -75,5 +78,3 @@ QUERIES = {
     "op10_token_shards": op10_token_shards,
     "pipeline": pipeline,
 }
-
-ORACLE_SQL: dict[str, str] = {}
