@@ -1,7 +1,6 @@
 """Text expressions as Spark SQL strings; each takes and returns SQL.
 
-Folding is lower case with sharp s as two letters; other special foldings of
-Unicode (final sigma, ligatures) are not made.
+Folding is Unicode's full case folding.
 """
 
 from __future__ import annotations
@@ -20,8 +19,17 @@ def collapse(x: str) -> str:
     return f"trim(regexp_replace({x}, '(?U)\\\\s+', ' '))"
 
 
+#: Letters whose case folding is not their lower case, by Unicode's own rule; capital sigma's lower case depends on its place.
+_FOLDINGS = {chr(c): chr(c).casefold() for c in [*range(128, 0xD800), *range(0xE000, 0x10000)] if chr(c).casefold() != chr(c).lower()} | {"Σ": "σ"}
+_PLAIN = "ßẞ"
+_FOLD_MAP = "map(" + ", ".join(f"'{a}', '{b}'" for a, b in _FOLDINGS.items()) + ")"
+_FOLD_CLASS = "[" + "".join(c for c in _FOLDINGS if c not in _PLAIN) + "]"
+
+
 def fold(x: str) -> str:
-    return f"replace(lower({x}), 'ß', 'ss')"
+    """Unicode's full case folding. Nearly all texts need lower case and sharp s only; the rest goes letter by letter."""
+    letters = f"array_join(transform(split({x}, ''), c -> coalesce(try_element_at({_FOLD_MAP}, c), lower(c))), '')"
+    return f"case when {x} rlike '{_FOLD_CLASS}' then {letters} else replace(lower({x}), 'ß', 'ss') end"
 
 
 def terms(query: str) -> str:

@@ -189,7 +189,8 @@ def split_sections(text: str) -> str:
 
 
 def data_uri(content: str) -> str:
-    return f"concat('data:image/png;base64,', base64({content}))"
+    """SQL: a data URI on one line; Spark may break base64 into lines of 76."""
+    return f"concat('data:image/png;base64,', regexp_replace(base64({content}), '\\\\s', ''))"
 
 
 def extract(documents: DataFrame, id_col: str, render: Callable[[bytes], Sequence], request: Request, batch_pages: int = 20) -> DataFrame:

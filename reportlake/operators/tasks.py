@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reportlake.operators import ordering
+
 STATUSES = ("pending", "in_progress", "completed")
 # Fixed values.
 MISSING_ID = "missing required argument: taskId"
@@ -89,4 +91,55 @@ def progress(tasks: DataFrame, *by: str) -> DataFrame:
 
 def new_ids(tasks: DataFrame, counter: int, order: str) -> DataFrame:
     """Ids after the counter for new rows; ids of deleted tasks are never used again."""
-    return tasks.withColumn("id", F.row_number().over(Window.orderBy(order)) + counter)
+    return ordering.numbered(tasks, order, name="id", start=counter + 1)
+
+
+# --- the tools' views ----------------------------------------------------------------------------------------------
+
+# The tools whose calls are counted.
+TOOLS = ("TaskCreate", "TaskGet", "TaskList", "TaskUpdate")
+
+
+def tool_calls(calls: DataFrame, *by: str) -> DataFrame:
+    """``task_tool_calls`` of each group of ``calls(tool, ...)``; other tools do not count."""
+    return calls.groupBy(*by).agg(F.count_if(F.col("tool").isin(*TOOLS)).alias("task_tool_calls"))
+
+
+def _with_edges(tasks: DataFrame, edge: DataFrame) -> DataFrame:
+    none = F.array().cast("array<bigint>")
+    both = tasks.join(adjacency(edge), "task", "left")
+    return both.withColumn("blocks", F.coalesce("blocks", none)).withColumn("blocked_by", F.coalesce("blocked_by", none))
+
+
+def got(tasks: DataFrame, edge: DataFrame) -> DataFrame:
+    """What reading one task shows: its public record. Owner, metadata and the active form stay inside."""
+    return _with_edges(tasks, edge).select("task", "subject", "description", "status", "blocks", "blocked_by")
+
+
+def listed(tasks: DataFrame, edge: DataFrame) -> DataFrame:
+    """What a list shows of each task; an owner only where there is one."""
+    return _with_edges(tasks, edge).select("task", "subject", "status", F.expr("nullif(owner, '')").alias("owner"), "blocked_by")
+
+
+def update_results(updates: DataFrame, task: str, order: str, start: str = "pending") -> DataFrame:
+    """The answer to each of ``updates(task, order, fields, status)``.
+
+    ``success, updated_fields, from_status, to_status, error``.  ``fields`` are
+    the arguments' names in the order given.  Deleting a task reports its status
+    alone, whatever else was asked, and later updates find no task.  The two
+    statuses are there only where the status changed.
+    """
+    earlier = Window.partitionBy(task).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    gone = F.coalesce(F.max((F.col("status") == "deleted").cast("int")).over(earlier), F.lit(0)) > 0
+    before = F.coalesce(F.last("status", ignorenulls=True).over(earlier), F.lit(start))
+    facts = updates.withColumn("gone", gone).withColumn("before", before)
+    changed = F.expr("not gone and status is not null and status <> before")
+    return facts.select(
+        task,
+        order,
+        (~F.col("gone")).alias("success"),
+        F.expr("case when gone then cast(array() as array<string>) when status = 'deleted' then array('status') else fields end").alias("updated_fields"),
+        F.when(changed, F.col("before")).alias("from_status"),
+        F.when(changed, F.col("status")).alias("to_status"),
+        F.when(F.col("gone"), F.lit(UNKNOWN_TASK)).alias("error"),
+    )

@@ -19,7 +19,8 @@ SEARCHES = [(-1, "annual report"), (-2, "the the on"), (-3, "été"), (-4, "lice
 
 def reports(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    body = "case when doc_id % 7 = 0 then '' else concat('# ', lang, ' ', doc_id, '\\n\\n', replace(text, '.\\n', '.\\n\\n')) end"
+    blank = f"case when doc_id % 7 = 0 then '{JOINER}' else '' end".replace("\n", "\\n")  # a blank page before every seventh
+    body = f"concat({blank}, '# ', lang, ' ', doc_id, '\\n\\n', replace(text, '.\\n', '.\\n\\n'))"
     pages = docs.selectExpr("concat(source, '_', doc_id div 250) as report_ref", "doc_id", f"{body} as body")
     gathered = pages.groupBy("report_ref").agg(F.array_sort(F.collect_list(F.struct("doc_id", "body"))).alias("p"))
     return gathered.select("report_ref", F.array_join(F.transform("p", lambda x: x["body"]), JOINER).alias("text"))
@@ -80,8 +81,8 @@ def d_pieces(source: str, keys: str, text: str) -> str:
 
 
 D_REPORTS = (
-    "reports AS (SELECT source || '_' || (doc_id // 250) AS report_ref, string_agg(CASE WHEN doc_id % 7 = 0 THEN '' ELSE '# ' || lang || ' ' || doc_id || "
-    f"{NL} || {NL} || replace(text, '.' || {NL}, '.' || {NL} || {NL}) END, {NL} || {NL} || '<--- Page Split --->' || {NL} || {NL} ORDER BY doc_id) AS text FROM documents GROUP BY 1)"
+    "reports AS (SELECT source || '_' || (doc_id // 250) AS report_ref, string_agg(CASE WHEN doc_id % 7 = 0 THEN chr(10) || chr(10) || '<--- Page Split --->' || chr(10) || chr(10) ELSE '' END || '# ' || lang || ' ' || doc_id || "
+    f"{NL} || {NL} || replace(text, '.' || {NL}, '.' || {NL} || {NL}), {NL} || {NL} || '<--- Page Split --->' || {NL} || {NL} ORDER BY doc_id) AS text FROM documents GROUP BY 1)"
 )
 D_PAGES = (
     f"pages_ AS (SELECT report_ref, CAST(i AS INT) AS page, {d_strip('parts[i]')} AS body FROM (SELECT report_ref, regexp_split_to_array(text, '(?i)<---\\s*Page Split\\s*--->') AS parts FROM reports) t, "

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reportlake.functions import text as T
-from reportlake.operators import access, chunking, contracts, search, uploads
+from reportlake.operators import access, chunking, contracts, ordering, report_session, search, uploads
 from reportlake.plans import fixtures as X
 from reportlake.plans.registry import query, table
 from reportlake.sources import config, reports, sessions
@@ -251,6 +251,17 @@ def search_has_next(spark, sf):
     return stats.selectExpr("query_id", "report_ref", f"{search.next_offset(3, 8)} as next_offset")
 
 
+@query("search_session", f"{X.D_SEARCH} SELECT rank, CASE WHEN rank <= 3 THEN 1 ELSE 2 END AS page_of_hits, chunk_id, page, score, {X.D_SNIPPET} AS snippet FROM (SELECT *, row_number() OVER ({X.D_ORDER}) AS rank FROM scored WHERE query_id = -2 AND score > 0) WHERE rank <= 8")
+def search_session(spark, sf):
+    """One caller's two pages of hits over all reports, the second by the first one's cursor: three hits, then five."""
+    session = report_session.ReportSession(ordering.settled(X.chunks(spark, sf)), "all")
+    asked = dict(X.SEARCHES)[-2]
+    first = session.search(asked, limit=3)
+    second = session.search(asked, first["next_cursor"], 5) if first["next_cursor"] else {"items": []}
+    rows = [(n, which, i["chunk_id"], i["page"], i["score"], i["snippet"]) for n, (which, i) in enumerate([*((1, i) for i in first["items"]), *((2, i) for i in second["items"])], 1)]
+    return spark.createDataFrame(rows, "rank long, page_of_hits int, chunk_id string, page int, score long, snippet string")
+
+
 # --- access --------------------------------------------------------------------------------------------------------
 
 

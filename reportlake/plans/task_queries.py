@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from reportlake.operators import catalog, compaction, dispatch, markdown, ocr, tasks
+from reportlake.operators import catalog, compaction, dispatch, markdown, ocr, ordering, tasks
 from reportlake.plans import fixtures as X
 from reportlake.plans.registry import query, table
 from reportlake.sources import sessions
@@ -28,7 +27,7 @@ def task_replay(spark, sf):
 
 @query("task_list", f"WITH {X.D_LOG}, {X.D_TASKS} SELECT row_number() OVER (ORDER BY task) AS position, task, status FROM tasks")
 def task_list(spark, sf):
-    return _tasks(spark, sf).select(F.row_number().over(Window.orderBy("task")).cast("long").alias("position"), "task", "status")
+    return ordering.numbered(_tasks(spark, sf).select("task", "status"), "task")
 
 
 D_COUNTS = "count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'in_progress') AS in_progress, count(*) FILTER (status = 'completed') AS completed"
@@ -132,12 +131,56 @@ def guard_task_update(spark, sf):
     return facts.selectExpr("event_id", f"{guard} as error")
 
 
+D_CALLS = "CASE event_type WHEN 'signup' THEN 'TaskCreate' WHEN 'view' THEN 'TaskGet' WHEN 'purchase' THEN 'TaskUpdate' WHEN 'error' THEN 'TaskList' ELSE 'SearchReport' END"
+
+
+@query("tool_calls", f"SELECT user_id % 10 AS session, count(*) FILTER ({D_CALLS} LIKE 'Task%') AS task_tool_calls FROM events GROUP BY 1")
+def tool_calls(spark, sf):
+    return tasks.tool_calls(table(spark, sf, "events").selectExpr("user_id % 10 as session", f"{D_CALLS} as tool"), "session")
+
+
+D_ANSWERS = """u AS (SELECT user_id AS task, event_id AS seq, CASE event_type WHEN 'view' THEN 'in_progress' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN CASE WHEN event_id % 20 = 0 THEN 'deleted' ELSE 'pending' END END AS status,
+    CASE event_type WHEN 'view' THEN 'status' WHEN 'purchase' THEN 'owner,status' WHEN 'error' THEN 'status,metadata' WHEN 'click' THEN 'metadata' ELSE 'subject,description' END AS fields FROM events),
+    w AS (SELECT *, coalesce(max(CASE WHEN status = 'deleted' THEN 1 END) OVER e, 0) = 1 AS gone, coalesce(last_value(status IGNORE NULLS) OVER e, 'pending') AS before FROM u WINDOW e AS (PARTITION BY task ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@query("task_updates", f"WITH {D_ANSWERS} SELECT task, seq, NOT gone AS success, CASE WHEN gone THEN '' WHEN status = 'deleted' THEN 'status' ELSE fields END AS updated_fields, CASE WHEN NOT gone AND status <> before THEN before END AS from_status, CASE WHEN NOT gone AND status <> before THEN status END AS to_status, CASE WHEN gone THEN '{tasks.UNKNOWN_TASK}' END AS error FROM w")
+def task_updates(spark, sf):
+    asked = table(spark, sf, "events").selectExpr(
+        "user_id as task", "event_id as seq",
+        "case event_type when 'view' then 'in_progress' when 'purchase' then 'completed' when 'error' then case when event_id % 20 = 0 then 'deleted' else 'pending' end end as status",
+        "case event_type when 'view' then array('status') when 'purchase' then array('owner', 'status') when 'error' then array('status', 'metadata') when 'click' then array('metadata') else array('subject', 'description') end as fields",
+    )
+    return tasks.update_results(asked, "task", "seq").withColumn("updated_fields", F.array_join("updated_fields", ","))
+
+
+def _records(spark, sf):
+    """Tasks with texts and, for every second one, an owner."""
+    texts = "concat('subject ', task) as subject", "concat('description ', task) as description", "case when task % 2 = 0 then concat('worker', task % 3) else '' end as owner"
+    return _tasks(spark, sf).selectExpr("task", *texts, "status", "k as active_form")
+
+
+D_LISTS = "b AS (SELECT blocker AS task, string_agg(blocked, ',' ORDER BY blocked) AS blocks FROM edges GROUP BY 1), c AS (SELECT blocked AS task, string_agg(blocker, ',' ORDER BY blocker) AS blocked_by FROM edges GROUP BY 1)"
+
+
+@query("task_get", f"WITH {X.D_LOG}, {X.D_TASKS}, {D_EDGES}, {D_LISTS} SELECT task, 'subject ' || task AS subject, 'description ' || task AS description, status, coalesce(blocks, '') AS blocks, coalesce(blocked_by, '') AS blocked_by FROM tasks LEFT JOIN b USING (task) LEFT JOIN c USING (task)")
+def task_get(spark, sf):
+    shown = tasks.got(_records(spark, sf), _edges(spark, sf))
+    return shown.withColumn("blocks", F.array_join("blocks", ",")).withColumn("blocked_by", F.array_join("blocked_by", ","))
+
+
+@query("task_summaries", f"WITH {X.D_LOG}, {X.D_TASKS}, {D_EDGES}, {D_LISTS} SELECT task, 'subject ' || task AS subject, status, CASE WHEN task % 2 = 0 THEN 'worker' || (task % 3) END AS owner, coalesce(blocked_by, '') AS blocked_by FROM tasks LEFT JOIN c USING (task)")
+def task_summaries(spark, sf):
+    return tasks.listed(_records(spark, sf), _edges(spark, sf)).withColumn("blocked_by", F.array_join("blocked_by", ","))
+
+
 # --- metrics and dispatch ------------------------------------------------------------------------------------------
 
-KEYS = [m[0] for m in catalog.METRICS]
+KEYS = [m["kpi_key"] for m in catalog.METRICS]
 D_KEYS = "[" + ", ".join(f"'{k}'" for k in KEYS) + "]"
 D_ASKED = f"asked AS (SELECT doc_id, CASE WHEN doc_id % 33 < 31 THEN ({D_KEYS})[1 + doc_id % 33] ELSE 'metric_' || (doc_id % 33) END AS kpi_key FROM documents)"
-D_NAMES = "names AS (SELECT * FROM (VALUES " + ", ".join("('{}', '{}', {}, {})".format(m[0], m[1].replace("'", "''"), len(m[3].split(" | ")), len(r[4])) for m, r in zip(catalog.METRICS, catalog.rows(), strict=True)) + ") v(kpi_key, name, labels, rejected))"
+D_VALUES = ", ".join(f"('{m['kpi_key']}', '{m['name'].replace(chr(39), 2 * chr(39))}', {len(m['accepted_labels'])}, {len(m['rejected_labels'])})" for m in catalog.METRICS)
+D_NAMES = f"names AS (SELECT * FROM (VALUES {D_VALUES}) v(kpi_key, name, labels, rejected))"
 
 
 def _asked(spark, sf):
@@ -191,7 +234,7 @@ def dispatch_outcomes(spark, sf):
 
 @query("dispatch_ordered", f"WITH {D_OUTCOMES} SELECT row_number() OVER (ORDER BY ordinal) AS position, task_id, status FROM outcomes")
 def dispatch_ordered(spark, sf):
-    return _outcomes(spark, sf).select(F.row_number().over(Window.orderBy("ordinal")).cast("long").alias("position"), "task_id", "status")
+    return ordering.numbered(_outcomes(spark, sf).select("ordinal", "task_id", "status"), "ordinal").drop("ordinal")
 
 
 @query("dispatch_retry_set", f"WITH {D_OUTCOMES} SELECT task_id FROM outcomes WHERE status = 'failed' AND retryable")
@@ -201,7 +244,7 @@ def dispatch_retry_set(spark, sf):
 
 @query("dispatch_final", f"WITH {D_OUTCOMES} SELECT task_id, CASE WHEN retryable THEN 'succeeded' ELSE status END AS status, CASE WHEN retryable THEN NULL ELSE error_code END AS error_code FROM outcomes")
 def dispatch_final(spark, sf):
-    first = _outcomes(spark, sf)
+    first = ordering.settled(_outcomes(spark, sf))  # every worker runs once
     again = dispatch.retry_set(first).select("task_id", "ordinal", F.lit("r").alias("report_ref"), F.lit("revenue").alias("kpi_key"))
     retried = dispatch.dispatch(again, dispatch.null_worker, check=_contract, pause=0.0)
     return dispatch.final(first, retried).select("task_id", "status", "error_code")
@@ -242,7 +285,7 @@ def compaction_split(spark, sf):
     return compaction.split(X.contents(spark, sf), 400).selectExpr("scope", "cast(desired as int) as desired", "cast(split as int) as split")
 
 
-def _records(spark, sf):
+def _summaries(spark, sf):
     """A summary of the first item of every second scope; every fourth is stale."""
     first = compaction.digests(X.contents(spark, sf).where("pos = 1 and scope % 2 = 0"))
     return first.selectExpr("scope", "1 as prefix_count", "case when scope % 4 = 0 then digest else 'stale' end as prefix_digest", "'summary' as summary")
@@ -252,7 +295,7 @@ def _records(spark, sf):
     eff AS (SELECT *, CAST((CASE WHEN p IS NULL THEN chars ELSE chars - head + 7 END) // 4 AS BIGINT) AS tokens FROM facts), act AS (SELECT *, CASE WHEN tokens < 200 THEN CASE WHEN p IS NULL THEN 'keep' ELSE 'reuse' END WHEN split = 0 THEN 'keep' WHEN split <= coalesce(p, 0) THEN 'reuse' ELSE 'summarize' END AS action FROM eff)
     SELECT scope, tokens, action, CASE WHEN action = 'summarize' THEN CAST(coalesce(p, 0) + 1 AS INT) END AS first_item, CASE WHEN action = 'summarize' THEN CAST(split AS INT) END AS split, action = 'summarize' AND p IS NOT NULL AS with_summary FROM act""")
 def compaction_plan(spark, sf):
-    found = compaction.plan(X.contents(spark, sf), _records(spark, sf), 200, 400)
+    found = compaction.plan(X.contents(spark, sf), _summaries(spark, sf), 200, 400)
     return found.selectExpr("scope", "cast(tokens as bigint) as tokens", "action", "cast(first_item as int) as first_item", "cast(split as int) as split", "with_summary")
 
 
@@ -321,10 +364,10 @@ def ocr_batches(spark, sf):
     return ocr.extract(docs, "doc_id", render, read).selectExpr("doc_id", "length(markdown) as chars", "pages", "error")
 
 
-@query("data_uri", "SELECT doc_id, 'data:image/png;base64,' || base64(encode(substr(text, 1, 30))) AS uri FROM documents")
+@query("data_uri", "SELECT doc_id, 'data:image/png;base64,' || base64(encode(text)) AS uri FROM documents")
 def data_uri(spark, sf):
-    """Of a stand-in for an image: the first characters of each text."""
-    return table(spark, sf, "documents").selectExpr("doc_id", f"{ocr.data_uri('cast(substring(text, 1, 30) as binary)')} as uri")
+    """Of a stand-in for an image: each text's bytes."""
+    return table(spark, sf, "documents").selectExpr("doc_id", f"{ocr.data_uri('cast(text as binary)')} as uri")
 
 
 # --- markdown ------------------------------------------------------------------------------------------------------
@@ -354,6 +397,13 @@ def state_delta_merge(spark, sf):
     return folds.state_delta(table(spark, sf, "events").selectExpr("user_id", "event_id", "event_type as key", "value"), "user_id", "event_id")
 
 
+@query("scope_cleanup", "WITH ends AS (SELECT user_id, max(event_id) FILTER (event_type = 'purchase') AS cleared FROM events GROUP BY 1) SELECT user_id, event_type AS key, arg_max(value, event_id) AS value FROM events JOIN ends USING (user_id) WHERE event_id > coalesce(cleared, -1) GROUP BY 1, 2")
+def scope_cleanup(spark, sf):
+    """The state that is left where a purchase ends a user's scope."""
+    deltas = table(spark, sf, "events").selectExpr("user_id", "event_id", "event_type as key", "value")
+    return folds.live_state(deltas, "user_id", "event_id", "key = 'purchase'")
+
+
 D_TOOL = "CASE event_type WHEN 'view' THEN 'SearchReport' WHEN 'click' THEN 'ReadReportChunks' WHEN 'signup' THEN 'GetKpiKnowledge' WHEN 'purchase' THEN 'finish_task' END"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.operators import chunking
+from reportlake.operators import chunking, ordering
 
 CHUNK = "chunk_id string, page int, heading string, text string"
 NOT_UTF8 = "report artifact is not valid UTF-8"
@@ -71,11 +71,8 @@ def save(artifacts: DataFrame, path: str) -> None:
 
 def samples(files: DataFrame, name: str = "name", size: str = "size") -> DataFrame:
     """PDF files in order of their names regardless of case: ``position, name, size, url``."""
-    from pyspark.sql import Window
-
     from reportlake.functions import text as T
 
-    pdf = files.where(f"lower({name}) like '%.pdf'")
-    return pdf.select(
-        F.row_number().over(Window.orderBy(F.expr(T.fold(name)), name)).alias("position"), name, size, F.expr(f"concat('/raw-pdf/', replace({T.percent_quoted(name)}, '/', '%2F'))").alias("url")
-    )
+    pdf = files.where(f"lower({name}) like '%.pdf'").withColumn("__folded", F.expr(T.fold(name)))
+    url = F.expr(f"concat('/raw-pdf/', replace({T.percent_quoted(name)}, '/', '%2F'))").alias("url")
+    return ordering.numbered(pdf, "__folded", name).select("position", name, size, url)

@@ -24,6 +24,17 @@ def state_delta(deltas: DataFrame, scope: str, order: str) -> DataFrame:
     return deltas.groupBy(scope, "key").agg(F.max_by("value", order).alias("value"))
 
 
+def live_state(deltas: DataFrame, scope: str, order: str, ended: str) -> DataFrame:
+    """``state_delta`` of what is alive: a scope's terminal event clears all that was set up to it.
+
+    ``ended`` is SQL for whether a row is such an event; a scope that was cleared
+    and not used again has no row.
+    """
+    last = deltas.groupBy(scope).agg(F.max(F.expr(f"case when {ended} then {order} end")).alias("cleared"))
+    alive = deltas.join(last, scope).where(f"cleared is null or {order} > cleared")
+    return state_delta(alive, scope, order)
+
+
 def phase(tool: str) -> str:
     return "case " + " ".join(f"when {tool} = '{t}' then '{p}'" for t, p in PHASES.items()) + " end"
 
@@ -58,14 +69,19 @@ def merged_entries(events: DataFrame, scope: str, order: str) -> DataFrame:
     return gathered.select(scope, F.expr(f"aggregate(es, {none}, (a, e) -> {step})").alias("entries"))
 
 
-def budget_stream(calls: DataFrame, scope: str, size: str, most: int = MAX_OUTPUT) -> DataFrame:
+def budget_stream(calls: DataFrame, scope: str, size: str, most: int = MAX_OUTPUT, idle: str | None = None) -> DataFrame:
     """The output budget as keyed streaming state: ``scope, output_chars, accepted, refused`` after each batch.
 
     Calls of a scope have to arrive in order, as they do from one conversation.
+    With ``idle``, a duration in ms, the state of a scope that has had no call for
+    so long is cleared.
     """
     import pandas as pd
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         used, accepted, refused = state.get if state.exists else (0, 0, 0)
         for frame in frames:
             for n in frame["n"].tolist():
@@ -74,10 +90,12 @@ def budget_stream(calls: DataFrame, scope: str, size: str, most: int = MAX_OUTPU
                 else:
                     used, accepted = used + n, accepted + 1
         state.update((used, accepted, refused))
+        if idle:
+            state.setTimeoutDuration(int(idle))
         yield pd.DataFrame({scope: [key[0]], "output_chars": [used], "accepted": [accepted], "refused": [refused]})
 
     kind = calls.schema[scope].dataType.simpleString()
     rows = calls.select(scope, F.col(size).cast("long").alias("n"))
     return rows.groupBy(scope).applyInPandasWithState(
-        update, f"{scope} {kind}, output_chars long, accepted long, refused long", "used long, accepted long, refused long", "update", "NoTimeout"
+        update, f"{scope} {kind}, output_chars long, accepted long, refused long", "used long, accepted long, refused long", "update", "ProcessingTimeTimeout" if idle else "NoTimeout"
     )

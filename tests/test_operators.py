@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reportlake.functions import text as T
-from reportlake.operators import access, catalog, chunking, compaction, contracts, dispatch, ocr, search, tasks
+from reportlake.operators import access, catalog, chunking, compaction, contracts, dispatch, ocr, ordering, report_session, search, tasks
 from reportlake.sources import config, reports
 
 
@@ -76,8 +76,8 @@ def test_artifacts_fail_as_a_whole(spark):
 
 
 def test_catalogue(spark):
-    rows = catalog.rows()
-    assert len(rows) == 31 and len({r[0] for r in rows}) == 31 and all(all(r) for r in rows)
+    rows = catalog.METRICS
+    assert len(rows) == 31 and len({r["kpi_key"] for r in rows}) == 31 and all(all(r.values()) for r in rows)
     asked = spark.createDataFrame([("revenue",), ("revenues",)], "kpi_key string")
     assert [r.kpi_key for r in catalog.unknown(asked).collect()] == ["revenues"]
     found = {r.kpi_key: r for r in catalog.lookup(asked).collect()}
@@ -205,3 +205,71 @@ def test_save_and_versions(spark, tmp_path):
     reports.save(reports.next_versions(rows, "at"), str(tmp_path / "artifacts"))
     saved = spark.read.parquet(str(tmp_path / "artifacts"))
     assert saved.groupBy("artifact_name").agg(F.max("version").alias("v")).where("artifact_name = 'a.md'").first().v == 1
+
+
+def test_folding_is_full(spark):
+    words = ["Straße ẞ", "ﬁne ﬂow", "ΣΟΦΟΣ σοφος", "İstanbul ı I", "Kelvin K µ", "ſtop ŉ ǰ", "ŒUVRE Ñandú", "ΐ ᾳ", "", "plain"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", f"{T.fold('w')} as f").collect()
+    assert all(r.f == r.w.casefold() for r in rows)
+
+
+def test_numbered_rows(spark):
+    rows = spark.createDataFrame([(i * 7919 % 1000, f"n{i}") for i in range(1000)], "k long, name string").repartition(5)
+    got = ordering.numbered(rows, "k", start=11).collect()
+    assert sorted(r.position for r in got) == list(range(11, 1011)) and all(r.position == r.k + 11 for r in got)
+    assert ordering.numbered(rows.limit(0), "k").collect() == []
+
+
+def test_missing_and_repeated_chunks(spark):
+    asked = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"])], "request_id long, chunk_ids array<string>")
+    chunks = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("c", 3, "t")], "chunk_id string, line int, text string")
+    assert sorted((r.request_id, r.position, r.text) for r in access.read_chunks(asked, chunks, "line").collect()) == [(1, 0, "new"), (2, 0, "t")]
+    assert [tuple(r) for r in access.missing_chunks(asked, chunks).collect()] == [(1, 1, "b")]
+
+
+def test_each_worker_runs_once(spark, tmp_path):
+    """Outcomes that are joined to a retry are settled first."""
+    def worker(task):
+        with open(f"{tmp_path}/calls", "a") as f:
+            f.write(task["task_id"] + "\n")
+        raise ValueError
+
+    asked = spark.createDataFrame([(str(i), i) for i in range(6)], "task_id string, ordinal long")
+    first = ordering.settled(dispatch.dispatch(asked, worker, pause=0.0))
+    again = dispatch.dispatch(dispatch.retry_set(first).select("task_id", "ordinal"), dispatch.null_worker, pause=0.0)
+    assert {r.status for r in dispatch.final(first, again).collect()} == {"succeeded"}
+    assert sorted(open(f"{tmp_path}/calls").read().split()) == [str(i) for i in range(6)]
+
+
+def test_report_session(spark):
+    rows = [(f"r:p{i}:c0", i, "H", f"revenue row {i}") for i in range(12)] + [("r:p50:c0", 50, "H", "other")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, page int, heading string, text string")
+    session = report_session.ReportSession(chunks, "r")
+    assert session.search("  ")["error"] == access.EMPTY_QUERY and session.search("revenue", limit=9)["error"] == access.BAD_LIMIT
+    assert session.search("revenue", "made up")["error"] == access.BAD_CURSOR
+    first = session.search("revenue", limit=3)
+    assert (first["scanned_chunks"], first["total_matches"], len(first["items"])) == (13, 12, 3)
+    assert session.search("row", first["next_cursor"], 3)["error"] == access.OTHER_CURSOR
+    second = session.search("revenue", first["next_cursor"], 3)
+    ids = [i["chunk_id"] for i in first["items"] + second["items"]]
+    assert len(set(ids)) == 6
+    assert session.read(["r:p50:c0"])["error"] == access.NOT_RETURNED
+    assert [c["chunk_id"] for c in session.read([ids[4], ids[0]])["chunks"]] == [ids[4], ids[0]]
+    assert session.read(ids[:4])["error"] == access.BAD_IDS and session.read([ids[0]] * 2)["error"] == access.BAD_IDS
+    session.searches = access.MAX_SEARCH_CALLS
+    assert session.search("revenue") == {"status": "error", "error": access.SEARCHES_SPENT, "budget_exhausted": True}
+    session.output_chars = access.MAX_OUTPUT - 10
+    assert session.read([ids[0]])["error"] == access.OUTPUT_SPENT and session.output_chars == access.MAX_OUTPUT - 10
+    assert report_session.ReportSession(chunks, "r", allowed=False).read(["x"])["error"] == access.NO_READ_ACCESS
+
+
+def test_update_results(spark):
+    rows = [(1, 1, ["status", "owner"], "in_progress"), (1, 2, ["metadata"], None), (1, 3, ["subject", "status"], "deleted"), (1, 4, ["status"], "pending"), (2, 1, ["status"], "pending")]
+    got = tasks.update_results(spark.createDataFrame(rows, "task long, seq long, fields array<string>, status string"), "task", "seq").orderBy("task", "seq").collect()
+    assert [(r.success, r.updated_fields, r.from_status, r.to_status, r.error) for r in got] == [
+        (True, ["status", "owner"], "pending", "in_progress", None),
+        (True, ["metadata"], None, None, None),
+        (True, ["status"], "in_progress", "deleted", None),
+        (False, [], None, None, tasks.UNKNOWN_TASK),
+        (True, ["status"], None, None, None),
+    ]
