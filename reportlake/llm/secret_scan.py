@@ -9,17 +9,21 @@ uniform draw from that alphabet:
 * a runs test on whether each index lies in the upper half of the alphabet,
 * lag-one serial correlation of the indices.
 
-Their two-sided p-values are combined by Bonferroni; a candidate that fails is
-no key.  Short strings pass such tests easily, whatever they are.  So the
-chi-squared statistic is also held against text: the letters of natural language
-concentrate (``LANGUAGE``), and the statistic of a language-like string of the
-same length has a known mean and spread.  The chance that text looks as uniform
-as this candidate is its p-value as a discovery, and Benjamini-Hochberg over all
-candidates of the table bounds the share of false ones.
+Short strings pass such tests easily, whatever they are, so passing is no finding.
+Each statistic is held against both explanations: a key, under which its law is
+known, and text of the same length, whose characters concentrate (``LANGUAGE``)
+and whose runs and neighbours stray from chance (``STRAY``).  The product of the
+three likelihood ratios says how much better a key explains the candidate, which
+grows with length.  The share of keys among all candidates of the table is
+estimated from these ratios, and the candidates with the largest ones are reported
+as long as the expected share of text among them stays within ``RATE``: a false
+discovery rate in which a candidate counts by its length.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,20 +37,29 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ("assign", "access", "hex", "random")
 #: Alphabets in the order in which they are tried: name and characters.
 ENCODINGS = (
+    ("decimal", "0123456789"),
     ("hex", "0123456789abcdef"),
+    ("HEX", "0123456789ABCDEF"),
+    ("lower", "abcdefghijklmnopqrstuvwxyz"),
+    ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("BASE36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
-#: Sums of squares and cubes of the letter frequencies of English.
-LANGUAGE = (0.0655, 0.0056)
+#: Sums of squares and cubes of the letter frequencies of text: English, of 26 letters, for larger alphabets;
+#: as uneven for smaller ones.
+LANGUAGE, LETTERS = (0.0655, 0.0056), 26
+#: Standard deviation of the runs and serial statistics in text; 1 for a key.
+STRAY = 3.0
 
 #: Characters of a candidate at least.
 LEAST_RANDOM = 20
 CANDIDATE = rf"[A-Za-z0-9+/_-]{{{LEAST_RANDOM},}}"
-#: False-discovery rate; rejection level of the battery; cells of the p-value histogram per decade.
-RATE, REJECT, CELLS = 0.01, 0.001, 20
+#: False-discovery rate; cells of the histogram per unit of a log-likelihood ratio, and its ends.
+RATE, CELLS, FAR = 0.01, 20, 60
 
 
 def spans_column(text: str, pattern: str, kind: str, group: int | None = None) -> Column:
@@ -104,10 +117,12 @@ def _two_sided(z: Column) -> Column:
 
 def _battery_sql(value: str) -> list[tuple[str, str]]:
     """Columns, step by step, that test the string column ``value``."""
-    pick = " ".join(f"when not {value} rlike '[^{_class(chars)}]' then named_struct('name', '{name}', 'chars', '{chars}')" for name, chars in ENCODINGS)
-    f2, f3 = LANGUAGE
+    names = {**dict(ENCODINGS), "mixed": dict(ENCODINGS)["base62"] + "+/_-"}
+    struct = {name: _alphabet(name, chars) for name, chars in names.items()}
+    pick = " ".join(f"when not {value} rlike '[^{_class(chars)}]' then {struct[name]}" for name, chars in ENCODINGS)
+    f2, f3 = (f"greatest({f}D, {f * LETTERS**k}D / pow(length(encoding.folded), {k}))" for k, f in enumerate(LANGUAGE, 1))
     return [
-        ("encoding", f"case {pick} else named_struct('name', 'mixed', 'chars', '{ENCODINGS[2][1]}+/_-') end"),
+        ("encoding", f"case {pick} else {struct['mixed']} end"),
         ("a", "cast(length(encoding.chars) as double)"),
         ("n", f"cast(length({value}) as double)"),
         ("idx", f"transform(filter(split({value}, ''), c -> c <> ''), c -> cast(instr(encoding.chars, c) - 1 as double))"),
@@ -126,46 +141,74 @@ def _battery_sql(value: str) -> list[tuple[str, str]]:
         ("spread", "aggregate(idx, 0D, (s, x) -> s + (x - mean) * (x - mean))"),
         ("lagged", "aggregate(zip_with(slice(idx, 1, size(idx) - 1), slice(idx, 2, size(idx)), (x, y) -> (x - mean) * (y - mean)), 0D, (s, x) -> s + x)"),
         ("z_serial", "case when spread > 0 then (lagged / spread + 1 / n) * sqrt(n) else 9D end"),
-        # The same statistic for text of this length: mean and variance of the sum of squared counts.
-        ("text_mean", f"n + n * (n - 1) * {f2}D"),
-        ("text_sd", f"sqrt(greatest(4 * n * (n - 1) * (n - 2) * ({f3}D - {f2 * f2}D) + 2 * n * (n - 1) * ({f2}D - {f2 * f2}D), 1D))"),
-        ("z_text", "(text_mean - squares) / text_sd"),
+        # The same with both cases as one, as text uses them: means and spreads in a key and in text of this length.
+        ("folded", f"case when encoding.folded = encoding.chars then {value} else lower({value}) end"),
+        ("together", "aggregate(filter(split(encoding.folded, ''), c -> c <> ''), 0D, (s, c) -> s + pow(n - length(replace(folded, c, '')), 2))"),
+        ("key_mean", "n + n * (n - 1) * encoding.k2"),
+        ("key_sd", _spread("encoding.k2", "encoding.k3")),
+        ("f2", f2),
+        ("f3", f3),
+        ("text_mean", "n + n * (n - 1) * f2"),
+        ("text_sd", f"greatest({_spread('f2', 'f3')}, key_sd)"),
+        ("for_key", "ln(text_sd / key_sd) + (pow((together - text_mean) / text_sd, 2) - pow((together - key_mean) / key_sd, 2)) / 2"),
+        ("straying", f"2 * ln({STRAY}D) - (z_runs * z_runs + z_serial * z_serial) / 2 * (1 - 1 / ({STRAY}D * {STRAY}D))"),
     ]
 
 
+def _spread(p2: str, p3: str) -> str:
+    """SQL: the standard deviation of the sum of squared counts of ``n`` draws; sums of squares and cubes of the chances."""
+    return f"sqrt(greatest(4 * n * (n - 1) * (n - 2) * ({p3} - {p2} * {p2}) + 2 * n * (n - 1) * ({p2} - {p2} * {p2}), 1D))"
+
+
+def _alphabet(name: str, chars: str) -> str:
+    """SQL: an encoding with its characters, those left if it has both cases and they are one, and what a key draws of these."""
+    both = chars.lower() != chars and chars.upper() != chars
+    folded = "".join(dict.fromkeys(chars.lower())) if both else chars
+    chances = [(chars.lower() if both else chars).count(c) / len(chars) for c in folded]
+    k2, k3 = (sum(p**k for p in chances) for k in (2, 3))
+    return f"named_struct('name', '{name}', 'chars', '{chars}', 'folded', '{folded}', 'k2', {k2:.12f}D, 'k3', {k3:.12f}D)"
+
+
 def _class(chars: str) -> str:
     return "".join("\\\\" + c if c in "+/-_" else c for c in chars)
 
 
 def tested(candidates: DataFrame, value: str = "value") -> DataFrame:
-    """``candidates`` with ``encoding``, the battery's ``p_random`` and the discovery's ``p_text``."""
+    """``candidates`` with ``encoding``, the p-values of the three tests, and ``log_ratio``: key against text."""
     keep = candidates.columns
     out = candidates
     for name, sql in _battery_sql(value):
         out = out.withColumn(name, F.expr(sql))
-    worst = F.least(_two_sided(F.col("z_uniform")), _two_sided(F.col("z_runs")), _two_sided(F.col("z_serial")))
     return out.select(
         *keep,
         F.col("encoding.name").alias("encoding"),
-        F.least(F.lit(1.0), 3 * worst).alias("p_random"),
-        _normal_tail(F.col("z_text")).alias("p_text"),
+        _two_sided(F.col("z_uniform")).alias("p_uniform"),
+        _two_sided(F.col("z_runs")).alias("p_runs"),
+        _two_sided(F.col("z_serial")).alias("p_serial"),
+        (F.col("for_key") + F.col("straying")).alias("log_ratio"),
     )
 
 
 def discovery_level(tests: DataFrame, rate: float = RATE) -> float:
-    """Benjamini-Hochberg over all of ``tests(p_text)``: the largest p-value that is still a discovery.
+    """The least ``log_ratio`` of a discovery: above it the expected share of text stays within ``rate``.
 
-    P-values are counted in cells of equal width in their logarithm, so the
-    result is one row per cell, at most ``40 * CELLS``, and cells round against
-    discovery.
+    Ratios are counted in cells, rounded against discovery, so the driver sees
+    ``2 * FAR * CELLS`` rows at most.  The share of keys is the one that makes the
+    counts most likely, found by expectation and maximisation.
     """
-    cell = F.ceil(F.greatest(F.log10(F.greatest("p_text", F.lit(1e-300))), F.lit(-40.0)) * CELLS)
-    counts = sorted((int(r.cell), r.n) for r in tests.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect())
-    total, upto, level = sum(n for _, n in counts), 0, 0.0
-    for c, n in counts:
-        upto += n
-        if 10 ** (c / CELLS) <= rate * upto / total:
-            level = 10 ** (c / CELLS)
+    cell = F.floor(F.least(F.greatest("log_ratio", F.lit(-float(FAR))), F.lit(float(FAR))) * CELLS)
+    counts = sorted(((r.cell / CELLS, r.n) for r in tests.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    total, share = sum(n for _, n in counts), 0.5
+    if not total:
+        return math.inf
+    text = lambda x, share: 1 / (1 + share / (1 - share) * math.exp(x))
+    for _ in range(200):
+        share = min(max(sum(n * (1 - text(x, share)) for x, n in counts) / total, 1e-12), 1 - 1e-9)
+    level, upto, false = math.inf, 0, 0.0
+    for x, n in counts:
+        upto, false = upto + n, false + n * text(x, share)
+        if false <= rate * upto:
+            level = x
     return level
 
 
@@ -175,6 +218,10 @@ def scan(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     Positions are code points, ends exclusive.  Base spans always stay; spans of
     kind ``random`` are added where no base span overlaps.
 
+    Short keys of few different characters cannot be told from text at this rate:
+    where a tenth of all candidates are keys, 60 random characters are found from
+    alphabets of 36 on, 40 from those of 62.
+
     Null and empty texts have no spans; a null id stays null; repeated rows give
     repeated results; an empty table gives an empty one; extra columns are
     ignored.
@@ -183,13 +230,10 @@ def scan(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     rows = documents.select(id_key(id_col).alias("doc"), text.alias("text"))
     rows = rows.select("doc", base_spans("text").alias("base"), spans_column("text", CANDIDATE, "random").alias("candidates"))
     free = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    # Only strings that mix digits or both cases with letters can be keys; words and rules cannot.
-    mixed = F.filter(free, lambda c: c["value"].rlike("[0-9]") & c["value"].rlike("[A-Za-z]"))
-    rows = materialize(rows.select("doc", "base", mixed.alias("candidates"), F.monotonically_increasing_id().alias("row")), "spans")
+    rows = materialize(rows.select("doc", "base", free.alias("candidates"), F.monotonically_increasing_id().alias("row")), "spans")
     tests = tested(rows.select("row", F.explode("candidates").alias("c")).select("row", "c", F.col("c.value").alias("value")))
-    tests = materialize(tests.select("row", "c", "encoding", "p_random", "p_text"), "tests")
-    level = discovery_level(tests, rate)
-    keys = tests.where((F.col("p_text") <= level) & (F.col("p_random") >= REJECT))
+    tests = materialize(tests.select("row", "c", "encoding", "log_ratio"), "tests")
+    keys = tests.where(F.col("log_ratio") >= discovery_level(tests, rate))
     added = keys.groupBy("row").agg(F.collect_list("c").alias("added"))
     out = rows.join(added, "row", "left")
     none = F.expr("cast(array() as array<struct<start:int,end:int,kind:int,value:string>>)")

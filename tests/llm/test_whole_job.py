@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_llm import near_brute, rows_of, suffixes_brute, windows_brute
 
-from reportlake.llm import decontaminate, language_id, license_scan, minhash, mixing, shared, substring_dedup, suffix_family
+from reportlake.llm import decontaminate, language_id, license_scan, minhash, mixing, secret_scan, shared, substring_dedup, suffix_family
 from reportlake.operators import search
 
 
@@ -170,3 +170,27 @@ def test_expected_copies_stop_at_the_most(spark):
     got = {r.source: r for r in mixing.expected_copies(targeted, cells).collect()}
     assert got["a"].rates[5] == 3.0 and abs(got["a"].rates[2] - 2.5) < 1e-9 and abs(got["a"].want - 50) < 1e-6
     assert got["b"].rates[3] == 3.0 and got["c"].rates is None
+
+
+def test_keys_among_words(spark):
+    """Keys of 36 characters and more among words run together, paths, numbers and rules: recall and the share of false ones."""
+    draw = random.Random(23)
+    english = "the of and to in is that it was for on are as with his they at be this have from or one had by word but not what all were we when your can said there use an each which she do how their if will up other about out many then them these so some her would make like him into time has look two more write go see number no way could people my than first water been call who oil its now find long down day did get come made may part".split()
+    kinds = {name: chars for name, chars in secret_scan.ENCODINGS if len(chars) >= 36}
+    texts, keys = [], set()
+    for k in range(3000):
+        kind, parts = k % 10, [draw.choice(english) for _ in range(draw.randrange(6, 14))]
+        if kind == 0:
+            name = sorted(kinds)[k // 10 % len(kinds)]
+            value = "".join(draw.choice(kinds[name]) for _ in range(draw.randrange(56, 73)))
+            keys.add(k)
+        elif kind < 4:
+            value = "".join(parts) if kind < 3 else "".join(p.title() for p in parts)
+        elif kind < 8:
+            value = "/_-/"[kind - 4].join(parts)
+        else:
+            value = "-=_/"[k % 4 if k % 4 != 1 else 0] * 40 if kind == 8 else "-".join(str(draw.randrange(1990, 2030)) for _ in range(8))
+        texts.append(f"see {value} there")
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id for r in secret_scan.digest(secret_scan.scan(frame)).collect() if "random" in r.spans}
+    assert len(found & keys) >= 0.9 * len(keys) and len(found - keys) <= 0.02 * len(found), (len(found & keys), len(keys), sorted(texts[i] for i in found - keys)[:20], [texts[i] for i in sorted(keys - found)][:20])
