@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,10 +24,11 @@ from reportlake.llm.kernels import groups_of
 from reportlake.llm.repeats import unpacked
 from reportlake.llm.shared import NO_ID, id_key, materialize, named_id
 
-#: Vectors, by hash order, on which pivots are fitted; pivots; pivots of a vector whose pairs
-#: are listed; length of the order whose shared pivots are counted, and how many must be.
+#: Vectors, by hash order, on which pivots are fitted, and so the most pivots; the fewest.
+#: Between these there are twice the root of the number of vectors, so lists stay short as a table grows.
 SAMPLE = 4096
 PIVOTS = 128
+#: Pivots of a vector whose pairs are listed; length of the order whose shared pivots are counted, and how many must be.
 LISTED = 6
 PREFIX = 12
 SHARED = 4
@@ -34,6 +36,25 @@ SHARED = 4
 BLOCK = 512
 
 
+#: More than any pivot's number.
+_SPAN = 1 << 13
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    unit = v / np.abs(v).max(axis=1, keepdims=True)
+    return unit / np.linalg.norm(unit, axis=1, keepdims=True)
+
+
+def _vectors(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """The vectors of a list, as doubles; some may have travelled as single floats."""
+    single = pc.equal(pc.binary_length(column), 4 * dim).to_numpy()
+    out = np.empty((len(single), dim))
+    mask = pa.array(single)
+    out[single] = unpacked(column.filter(mask), np.float32).reshape(-1, dim)
+    out[~single] = unpacked(column.filter(pc.invert(mask)), np.float64).reshape(-1, dim)
+    return out
+
+
 def usable(vector: str = "embedding") -> str:
     """SQL: the vector can be compared at all."""
     return f"({vector} is not null and size({vector}) > 0 and forall({vector}, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists({vector}, x -> x <> 0))"
@@ -72,8 +93,7 @@ def _postings(pivots: dict[int, np.ndarray], listed: int, prefix: int):
                 rows = np.flatnonzero(dims == dim)
                 part = batch.take(pa.array(rows))
                 v = np.asarray(part.column("embedding").flatten(), dtype=np.float64).reshape(len(rows), dim)
-                unit = v / np.abs(v).max(axis=1, keepdims=True)
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                unit = _unit(v)
                 base = pivots.get(int(dim))
                 if base is None:  # a dimension that the sample lacks: one list for all
                     order = np.zeros((len(rows), 1), dtype=np.int64)
@@ -81,10 +101,11 @@ def _postings(pivots: dict[int, np.ndarray], listed: int, prefix: int):
                     order = np.argsort(-(unit @ base.T), axis=1, kind="stable")[:, :prefix]
                 head = np.sort(order[:, :listed], axis=1)
                 a, b = np.triu_indices(head.shape[1], 1) if head.shape[1] > 1 else (np.array([0]), np.array([0]))
-                keys = (head[:, a] * 4096 + head[:, b]) + int(dim) * (1 << 24)
+                keys = (head[:, a] * _SPAN + head[:, b]) + int(dim) * _SPAN * _SPAN
                 n = keys.shape[1]
                 at = np.repeat(np.arange(len(rows)), n)
                 mask = order.astype(np.int16)
+                exact = bool((v.astype(np.float32) == v).all())  # a block of single floats travels as such
                 fixed = lambda x: pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * x.shape[1] * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -92,16 +113,16 @@ def _postings(pivots: dict[int, np.ndarray], listed: int, prefix: int):
                         pa.array(keys.reshape(-1), pa.int64()),
                         part.column("rep").take(pa.array(at)),
                         part.column("copies").take(pa.array(at)),
-                        fixed(unit).take(pa.array(at)),
+                        fixed(v.astype(np.float32) if exact else v).take(pa.array(at)),
                         fixed(mask).take(pa.array(at)),
                     ],
-                    names=["label", "list", "rep", "copies", "unit", "nearest"],
+                    names=["label", "list", "rep", "copies", "vector", "nearest"],
                 )
 
     return run
 
 
-POSTING = "label long, list long, rep long, copies long, unit binary, nearest binary"
+POSTING = "label string, list long, rep long, copies long, vector binary, nearest binary"
 FOUND = "rep long, links long, near long"
 
 
@@ -119,13 +140,13 @@ def _matches(cosine: float, listed: int, shared: int):
         left, right = int(table.column("left")[0].as_py()), int(table.column("right")[0].as_py())
         key = int(table.column("list")[0].as_py())
         n = len(rep)
-        unit = unpacked(table.column("unit"), np.float64).reshape(n, -1)
+        unit = _unit(_vectors(table.column("vector"), key // (_SPAN * _SPAN)))
         nearest = unpacked(table.column("nearest"), np.int16).reshape(n, -1)
         has = np.zeros((n, int(nearest.max()) + 1), dtype=np.float32)
         has[np.arange(n)[:, None], nearest] = 1
         top = np.zeros_like(has)
         top[np.arange(n)[:, None], nearest[:, :listed]] = 1
-        low = (key % (1 << 24)) // 4096, key % 4096
+        low = key // _SPAN % _SPAN, key % _SPAN
         rows, cols = np.flatnonzero(block == left), np.flatnonzero(block == right)
         out: list[np.ndarray] = []
         for r in np.array_split(rows, max(1, len(rows) // 256)):
@@ -172,7 +193,7 @@ def near_vectors(
     vectors: DataFrame,
     cosine: float = 0.98,
     *,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
     sample: int = SAMPLE,
     listed: int = LISTED,
     prefix: int = PREFIX,
@@ -196,7 +217,7 @@ def near_vectors(
     """
     rows = vectors.select(
         id_key(id_col).alias("vec"),
-        F.col(label_col).cast("long").alias("label"),
+        F.col(label_col).cast("string").alias("label"),
         F.col(vector_col).cast(T.ArrayType(T.DoubleType())).alias("embedding"),
     )
     good = F.expr(f"vec < {NO_ID} and label is not null and {usable()}")
@@ -206,14 +227,14 @@ def near_vectors(
     usable_rows = rows.where("good")
     classes = usable_rows.groupBy("label", "hash", "embedding").agg(F.min("vec").alias("rep"), F.count("*").alias("copies"))
     classes = materialize(classes, "classes")
-    base = fit_pivots(classes, pivots, sample)
+    base = fit_pivots(classes, pivots or max(PIVOTS, int(2 * classes.count() ** 0.5)), sample)
     postings = classes.select("label", "rep", "copies", "embedding").mapInArrow(_postings(base, listed, prefix), POSTING)
     postings = materialize(postings, "postings")
     sizes = postings.groupBy("label", "list").agg(F.count("*").alias("n"))
     sizes = materialize(sizes.where("n > 1").selectExpr("label", "list", f"cast(ceil(n / {BLOCK}) as int) as blocks"), "sizes")
     blocked = postings.join(sizes, ["label", "list"]).withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
     paired = blocked.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).selectExpr(
-        "label", "list", "rep", "copies", "unit", "nearest", "block", "least(block, other) as left", "greatest(block, other) as right"
+        "label", "list", "rep", "copies", "vector", "nearest", "block", "least(block, other) as left", "greatest(block, other) as right"
     )
     matched = paired.groupBy("label", "list", "left", "right").applyInArrow(_matches(cosine, listed, shared), FOUND)
     matched = materialize(matched, "matches")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_llm import near_brute, rows_of, suffixes_brute, windows_brute
 
-from reportlake.llm import decontaminate, language_id, license_scan, minhash, mixing, secret_scan, shared, substring_dedup, suffix_family
+from reportlake.llm import decontaminate, embedding_index, language_id, license_scan, minhash, mixing, secret_scan, shared, substring_dedup, suffix_family
 from reportlake.operators import search
 
 
@@ -194,3 +194,17 @@ def test_keys_among_words(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r.doc_id for r in secret_scan.digest(secret_scan.scan(frame)).collect() if "random" in r.spans}
     assert len(found & keys) >= 0.9 * len(keys) and len(found - keys) <= 0.02 * len(found), (len(found & keys), len(keys), sorted(texts[i] for i in found - keys)[:20], [texts[i] for i in sorted(keys - found)][:20])
+
+
+def test_vectors_of_any_label_and_width(spark):
+    """Labels as text, vectors of single and double floats and of two widths, clashing column names, ties."""
+    draw = random.Random(31)
+    base = [[draw.gauss(0, 1) for _ in range(12)] for _ in range(40)]
+    rows = [(i, v, "ab"[i % 2], 1, "x") for i, v in enumerate(base)]
+    rows += [(100 + i, [x * 3 for x in base[i]], "ab"[i % 2], 1, "x") for i in range(20)]  # the same direction
+    rows += [(200 + i, base[i][:7], "ab"[i % 2], 1, "x") for i in range(10)] + [(300, base[0], "ab"[0], 1, "x")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, rep int, component string")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_index.near_vectors(frame).collect()}
+    assert got[0] == (2, 0, True) and got[100] == (2, 0, False) and got[300] == (2, 0, False)
+    assert all(got[i] == (1, i, True) and got[100 + i] == (1, i, False) for i in range(1, 20))
+    assert all(got[i] == (0, i, True) for i in [*range(20, 40), *range(200, 210)])
