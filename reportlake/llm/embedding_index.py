@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reportlake.llm.graph import components
-from reportlake.llm.kernels import groups_of
-from reportlake.llm.repeats import unpacked
-from reportlake.llm.shared import NO_ID, id_key, materialize, named_id
+from reportlake.llm.kernels import ranges
+from reportlake.llm.repeats import runs_of, unpacked
+from reportlake.llm.shared import NO_ID, bucket_count, id_key, materialize, named_id
 
 #: Vectors, by hash order, on which pivots are fitted, and so the most pivots; the fewest.
 #: Between these there are twice the root of the number of vectors, so lists stay short as a table grows.
@@ -34,6 +34,8 @@ PREFIX = 12
 SHARED = 4
 #: Members of a list that one task compares; longer lists are compared block by block.
 BLOCK = 512
+#: Pairs that a task compares at once.
+PAIRS = 1 << 15
 
 
 #: More than any pivot's number.
@@ -127,49 +129,57 @@ FOUND = "rep long, links long, near long"
 
 
 def _matches(cosine: float, listed: int, shared: int):
-    """Compare the members of a list, or of two blocks of it; count links, name a neighbour.
+    """Compare the members of each list, or of two blocks of it; count links, name a neighbour.
 
     A pair that meets in several lists counts in the first: that of the two
-    smallest pivots that both have among their listed ones.
+    smallest pivots that both have among their listed ones.  A task has many
+    lists, whose pairs are formed ``PAIRS`` at a time.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        rep = table.column("rep").to_numpy()
-        copies = table.column("copies").to_numpy()
-        block = table.column("block").to_numpy()
-        left, right = int(table.column("left")[0].as_py()), int(table.column("right")[0].as_py())
-        key = int(table.column("list")[0].as_py())
-        n = len(rep)
-        unit = _unit(_vectors(table.column("vector"), key // (_SPAN * _SPAN)))
+        key = table.column("list").to_numpy()
+        out = [one(table.filter(pa.array(key // (_SPAN * _SPAN) == dim)), int(dim)) for dim in np.unique(key // (_SPAN * _SPAN))]
+        return pa.concat_tables(out)
+
+    def one(table: pa.Table, dim: int) -> pa.Table:
+        n = table.num_rows
+        key, block = table.column("list").to_numpy(), table.column("block").to_numpy()
+        left, right = table.column("left").to_numpy(), table.column("right").to_numpy()
+        label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        order = np.lexsort((block != left, right, left, key, label))
+        table = table.take(pa.array(order))
+        key, block, left, right, label = (x[order] for x in (key, block, left, right, label))
+        rep, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
+        unit = _unit(_vectors(table.column("vector"), dim))
         nearest = unpacked(table.column("nearest"), np.int16).reshape(n, -1)
-        has = np.zeros((n, int(nearest.max()) + 1), dtype=np.float32)
-        has[np.arange(n)[:, None], nearest] = 1
-        top = np.zeros_like(has)
-        top[np.arange(n)[:, None], nearest[:, :listed]] = 1
-        low = key // _SPAN % _SPAN, key % _SPAN
-        rows, cols = np.flatnonzero(block == left), np.flatnonzero(block == right)
-        out: list[np.ndarray] = []
-        for r in np.array_split(rows, max(1, len(rows) // 256)):
-            if not len(r) or not len(cols):
-                continue
-            enough = min(shared, nearest.shape[1])
-            a, b = np.nonzero(has[r] @ has[cols].T >= enough)
-            a, b = r[a], cols[b]
-            keep = rep[a] < rep[b] if left == right else rep[a] != rep[b]
+        enough = min(shared, nearest.shape[1])
+        # Partners of a row: those after it in its block, or the whole other block.
+        starts, group = runs_of(label, key, left, right)
+        ends = np.append(starts[1:], n)
+        second = starts + np.add.reduceat((block == left).astype(np.int64), starts)
+        same = left == right
+        first = np.where(same, np.arange(n) + 1, second[group])
+        count = np.where(same | (block == left), ends[group] - first, 0)
+        upto = np.concatenate([[0], np.cumsum(count)])
+        pairs: list[np.ndarray] = []
+        i = 0
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(upto, upto[i] + PAIRS, side="right")) - 1)
+            a, b = np.repeat(np.arange(i, j), count[i:j]), ranges(first[i:j], count[i:j])
+            i = j
+            keep = rep[a] != rep[b]
+            keep[keep] = (nearest[a[keep]][:, :, None] == nearest[b[keep]][:, None, :]).sum(axis=(1, 2)) >= enough
             a, b = a[keep], b[keep]
             keep = np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine
             a, b = a[keep], b[keep]
-            if low[0] != low[1]:
-                both = top[a] * top[b]
-                one = both.argmax(axis=1)
-                both[np.arange(len(a)), one] = 0
-                two = both.argmax(axis=1)
-                keep = (one == low[0]) & (two == low[1])
+            if nearest.shape[1] > 1:
+                mine = nearest[a, :listed].astype(np.int64)
+                both = (mine[:, :, None] == nearest[b, None, :listed]).any(axis=2)
+                least = np.sort(np.where(both, mine, _SPAN), axis=1)
+                keep = (least[:, 0] == key[a] // _SPAN % _SPAN) & (least[:, 1] == key[a] % _SPAN)
                 a, b = a[keep], b[keep]
-            out.append(np.stack([a, b]))
-        if not out:
-            return pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "near": pa.array([], pa.int64())})
-        a, b = np.concatenate(out, axis=1)
+            pairs.append(np.stack([a, b]))
+        a, b = np.concatenate(pairs, axis=1)
         links = np.zeros(n, dtype=np.int64)
         np.add.at(links, a, copies[b])
         np.add.at(links, b, copies[a])
@@ -182,9 +192,7 @@ def _matches(cosine: float, listed: int, shared: int):
             if (name == before).all():
                 break
         hit = links > 0
-        return pa.table({"rep": rep[hit], "links": links[hit], "near": name[hit]}).cast(
-            pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("near", pa.int64())])
-        )
+        return pa.table({"rep": pa.array(rep[hit], pa.int64()), "links": pa.array(links[hit], pa.int64()), "near": pa.array(name[hit], pa.int64())})
 
     return run
 
@@ -236,7 +244,8 @@ def near_vectors(
     paired = blocked.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).selectExpr(
         "label", "list", "rep", "copies", "vector", "nearest", "block", "least(block, other) as left", "greatest(block, other) as right"
     )
-    matched = paired.groupBy("label", "list", "left", "right").applyInArrow(_matches(cosine, listed, shared), FOUND)
+    dealt = paired.withColumn("bucket", F.pmod(F.xxhash64("label", "list", "left", "right"), F.lit(bucket_count(postings))))
+    matched = dealt.groupBy("bucket").applyInArrow(_matches(cosine, listed, shared), FOUND)
     matched = materialize(matched, "matches")
     labels = components(matched.where("rep <> near").select(F.col("rep").alias("a"), F.col("near").alias("b")))
     counts = matched.groupBy("rep").agg(F.sum("links").alias("links"))
