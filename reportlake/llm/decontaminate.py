@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from reportlake.llm.kernels import U, Words, ranges, text_blocks
 from reportlake.llm.repeats import _cut, unpacked
-from reportlake.llm.shared import documents_of, materialize, named_id, small_or_not, without
+from reportlake.llm.shared import documents_of, materialize, named_id, passing, small_or_not, without
 
 #: Hashed terms; rank of the basis; rows of a part of a matrix of terms.
 TERMS, RANK, PART = 1 << 14, 48, 256
@@ -382,6 +382,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "d
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
     """The rows of ``documents`` that hold no benchmark item, unchanged."""
-    leaks = contaminated(documents, benchmark, id_col=id_col, text_col=text_col, keys=True, **columns).select("doc", "tag").distinct()
-    leaks = small_or_not(materialize(leaks, "leaks"))
+    with passing(documents.sparkSession):
+        leaks = contaminated(documents, benchmark, id_col=id_col, text_col=text_col, keys=True, **columns).select("doc", "tag").distinct()
+        leaks = small_or_not(materialize(leaks, "leaks", lasting=True))
     return without(documents, leaks, id_col, text_col)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportlake.llm.kernels import _LOWER, U, mix, text_blocks
-from reportlake.llm.shared import materialize, small_or_not
+from reportlake.llm.shared import materialize, passing, small_or_not
 
 #: Hashed trigrams; labelled documents of a language to fit on.
 GRAMS, SAMPLE = 1 << 14, 1500
@@ -255,9 +255,10 @@ def fit_documents(documents: DataFrame, *, text_col: str = "text", lang_col: str
 def accepted_documents(documents: DataFrame, **columns) -> DataFrame:
     """The rows of ``documents`` whose language is accepted, unchanged."""
     evidence = evidence_of_documents(documents, **columns)
-    model = fit_documents(documents, **{k: v for k, v in columns.items() if k in ("text_col", "lang_col")})
-    bad = identify(evidence, model).where("not accepted").select("key").distinct()
-    bad = small_or_not(materialize(bad, "rejected"))
+    with passing(documents.sparkSession):
+        model = fit_documents(documents, **{k: v for k, v in columns.items() if k in ("text_col", "lang_col")})
+        bad = identify(evidence, model).where("not accepted").select("key").distinct()
+        bad = small_or_not(materialize(bad, "rejected", lasting=True))
     own = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
     names = {"id_col": "doc_id", "text_col": "text", "lang_col": "lang", "source_col": "source"} | columns
     key = F.xxhash64(F.lit("document"), names["id_col"], names["text_col"], names["lang_col"], names["source_col"])

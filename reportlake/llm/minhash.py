@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from reportlake.llm.graph import components
 from reportlake.llm.kernels import U, Words, mix, ranges, text_blocks
 from reportlake.llm.repeats import unpacked
-from reportlake.llm.shared import NO_ID, documents_of, materialize, named_id, small_or_not
+from reportlake.llm.shared import NO_ID, documents_of, materialize, named_id, passing, small_or_not, without
 
 WORDS = 5
 #: 48 bands of 5: a pair at similarity 0.75 misses all of them with a chance of 2e-6.
@@ -311,3 +311,11 @@ def mark(documents: DataFrame, similarity: int = 75, **options) -> DataFrame:
         named_id("component").alias("component_id"),
         (F.col("doc") == F.col("component")).alias("kept"),
     )
+
+
+def deduplicated(documents: DataFrame, similarity: int = 75, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``documents`` that :func:`mark` keeps, unchanged."""
+    with passing(documents.sparkSession):
+        found = near_duplicates(documents, similarity, id_col=id_col, text_col=text_col, **options)
+        gone = small_or_not(materialize(found.where("doc <> component").select("doc", "tag").distinct(), "copies", lasting=True))
+    return without(documents, gone, id_col, text_col)

@@ -12,6 +12,8 @@ import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,13 +51,41 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Paths of the scratch tables written inside each open ``passing``.
+_passing: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables written inside are deleted at its end, but for those made to last.
+
+    Nothing that is used afterwards may depend on the others.
+    """
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for path in _passing.pop():
+            discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table, in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialize(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends here.
 
     A lost executor then costs the tasks that ran on it, not the whole chain.
+    Inside ``passing`` a table that is not ``lasting`` goes with it.
     """
     spark, schema = df.sparkSession, df.schema
     path = scratch_path(spark, name)
+    scope = len(_passing) - 1 - lasting
+    if scope >= 0:
+        _passing[scope].append(path)
     df.write.option("compression", "zstd").parquet(path)
     del df  # or its shuffle files would outlive this
     release(spark)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from reportlake.llm.kernels import U, mix, text_blocks
 from reportlake.llm.repeats import _cut, unpacked
-from reportlake.llm.shared import id_key, named_id, release, scratch_path
+from reportlake.llm.shared import discard, id_key, named_id, release, scratch_path
 
 #: Default vocabulary: byte-level BPE ranks; the id after the last ends a text.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -214,6 +214,7 @@ def write_shards(
     made = sent.groupBy("target").applyInArrow(_shards(slots, length, width, end), SHARDS)
     made.write.option("compression", "zstd").parquet(path)
     release(spark)
+    discard(spark, held)
     return spark.read.schema(SHARDS).parquet(path)
 
 
