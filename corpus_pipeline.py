@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reportlake.llm import decontaminate, language_id, minhash, mixing, token_shards
-from reportlake.llm.shared import materialize, scratch_path, small_or_not, without
+from reportlake.llm.shared import materialize, scratch_path
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,9 +15,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup: of each group of near duplicates the smallest id stays."""
-    found = minhash.near_duplicates(docs)
-    gone = small_or_not(materialize(found.where("doc <> component").select("doc", "tag").distinct(), "copies"))
-    return without(docs, gone)
+    return minhash.deduplicated(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
