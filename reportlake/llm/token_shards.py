@@ -8,8 +8,11 @@ sequence's slot in training order.  Shards hold a fixed number of slots and ever
 sequence takes the same bytes in its shard, so slot ``s`` is at byte
 ``(s % slots) * stride`` of shard ``s // slots``: a reader resumes anywhere.
 
-A sequence's number is the position of its task's output plus its own in it, so
-it follows from the input's layout; the written tokens, not a second run, decide.
+Sequences are numbered in the order of id, text hash and place in the text: texts
+are dealt by range, and a sequence's number is the count of those in earlier
+ranges plus its place in its own.  So the training order follows from rows and
+key, however the input is cut into files and tasks; rows that the order cannot
+tell apart are equal, and any order of theirs gives the same shards.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from reportlake.llm.kernels import U, mix, text_blocks
 from reportlake.llm.repeats import _cut, unpacked
-from reportlake.llm.shared import discard, id_key, named_id, release, scratch_path
+from reportlake.llm.shared import bucket_count, discard, documents_of, named_id, release, scratch_path
 
 #: Default vocabulary: byte-level BPE ranks; the id after the last ends a text.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -32,6 +35,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Tokens of a sequence; sequences of a shard; rounds of the permutation; bytes of tokens in a task.
 LENGTH, SLOTS, ROUNDS, TASK_BYTES = 512, 2048, 6, 16 << 20
+#: Bytes up to which a vocabulary's file is sent to the executors; MB of texts in a range.
+VOCABULARY_BYTES, RANGE_MB = 64 << 20, 64
 
 _PART = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("docs", pa.binary()), ("seq", pa.binary()), ("size", pa.binary()), ("tokens", pa.binary())])
 PARTS = "part int, first long, n long, docs binary, seq binary, size binary, tokens binary"
@@ -58,12 +63,20 @@ def feistel(index: np.ndarray, count: int, key: int, rounds: int = ROUNDS) -> np
     return out.astype(np.int64)
 
 
-def encoder(vocabulary: str):
-    """``(encode(text) -> ids, end id)``; a text is cut and merged in one call of the library."""
+def vocabulary_of(path: str) -> bytes:
+    """A vocabulary's file, which only the driver has to reach."""
+    with open(path, "rb") as file:
+        data = file.read(VOCABULARY_BYTES + 1)
+    if len(data) > VOCABULARY_BYTES:
+        raise ValueError(f"{path} has more than {VOCABULARY_BYTES} bytes")
+    return data
+
+
+def encoder(data: bytes):
+    """``(encode(text) -> ids, end id)`` of a vocabulary's file; a text is cut and merged in one call of the library."""
     import tiktoken
 
-    with open(vocabulary, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
     core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     end = max(ranks.values()) + 1
     kind = np.uint16 if end < 1 << 16 else np.uint32
@@ -74,13 +87,13 @@ def encoder(vocabulary: str):
     return encode, end
 
 
-def _encoded(vocabulary: str, length: int):
-    """One row per block: its sequences one after the other, numbered within the task."""
+def _encoded(vocabulary, length: int):
+    """One row per block: its sequences one after the other, numbered within the task. ``vocabulary`` is a broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = encoder(vocabulary)
+        encode, end = encoder(vocabulary.value)
         kind = np.uint16 if end < 1 << 16 else np.uint32
         part, made = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -193,20 +206,28 @@ def write_shards(
     ends a text.  Every text ends with that id, so null and empty texts are one
     sequence of one token.  Repeated rows are repeated sequences, each with a
     slot of its own; null ids stay null; an empty table gives no shard; extra
-    columns are ignored.
+    columns are ignored.  The same rows and key give the same shards, whatever the
+    partitioning.  ``vocabulary`` is a path on the driver.
     """
     spark = documents.sparkSession
-    docs = documents.select(id_key(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    data = vocabulary_of(vocabulary)
+    shipped = spark.sparkContext.broadcast(data)
+    # The last column splits a group of equal rows, however large, over ranges.
+    order = ["doc", "tag", "at"]
+    docs = documents_of(documents, id_col, text_col).withColumn("at", F.monotonically_increasing_id())
+    ranged = docs.repartitionByRange(bucket_count(documents, RANGE_MB), *order).sortWithinPartitions(*order)
     held = scratch_path(spark, "encoded")
-    docs.mapInArrow(_encoded(vocabulary, length), PARTS).write.option("compression", "zstd").parquet(held)
+    ranged.select("doc", "text").mapInArrow(_encoded(shipped, length), PARTS).write.option("compression", "zstd").parquet(held)
+    del docs, ranged
     release(spark)
+    shipped.unpersist()
     parts = spark.read.schema(PARTS).parquet(held)
     counts = parts.groupBy("part").agg(F.sum("n").alias("n")).collect()  # one row per task that wrote
     base, count = {}, 0
     for r in sorted(counts, key=lambda r: r.part):
         base[r.part] = count
         count += r.n
-    _, end = _vocabulary_size(vocabulary)
+    end = max(int(line.split()[1]) for line in data.splitlines()) + 1
     width = 2 if end < 1 << 16 else 4
     shards = -(-count // slots)
     each = max(1, min(TASK_BYTES // (slots * length * width), -(-shards // int(spark.conf.get("spark.sql.shuffle.partitions")))))
@@ -218,12 +239,6 @@ def write_shards(
     return spark.read.schema(SHARDS).parquet(path)
 
 
-def _vocabulary_size(vocabulary: str) -> tuple[int, int]:
-    with open(vocabulary, "rb") as lines:
-        ranks = [int(line.split()[1]) for line in lines]
-    return len(ranks), max(ranks) + 1
-
-
 def read_from(spark, path: str, slot: int = 0, slots: int = SLOTS) -> DataFrame:
     """Sequences in training order from ``slot`` on: ``slot, doc_id, seq, tokens binary``."""
     rows = spark.read.schema(SHARDS).parquet(path).where(F.col("shard") >= slot // slots)

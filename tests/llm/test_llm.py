@@ -285,7 +285,7 @@ def test_shards_round_trip(spark, awkward, tmp_path):
     shards = token_shards.write_shards(awkward, path, length=64, slots=16)
     rows = token_shards.read_from(spark, path, 0, 16).collect()
     assert [r.slot for r in rows] == list(range(len(rows)))
-    encode, end = token_shards.encoder(token_shards.VOCABULARY)
+    encode, end = token_shards.encoder(token_shards.vocabulary_of(token_shards.VOCABULARY))
     wanted = defaultdict(list)
     for r in awkward.collect():
         ids = [*encode(r.text or ""), end]
@@ -296,6 +296,9 @@ def test_shards_round_trip(spark, awkward, tmp_path):
         have[r.doc_id, r.seq].append(np.frombuffer(r.tokens, dtype=np.uint16)[: r.size].tolist())
     assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in wanted.items()}
     assert token_shards.read_from(spark, path, 20, 16).first().slot == 20
+    again = token_shards.write_shards(awkward.orderBy(F.desc("text")).repartition(11), f"{path}-again", length=64, slots=16)
+    whole = lambda frame: sorted((r.shard, r.first_slot, r.docs, r.seq, r.size, bytes(r.payload)) for r in frame.collect())
+    assert whole(again) == whole(shards)
     assert token_shards.index_of(shards).count() == len(rows)
 
 
