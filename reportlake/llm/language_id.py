@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reportlake.llm.kernels import _LOWER, U, mix, text_blocks
-from reportlake.llm.shared import materialize, passing, small_or_not
+from reportlake.llm.shared import BROADCAST_ROWS, id_key, materialize, passing, small_or_not
 
 #: Hashed trigrams; labelled documents of a language to fit on.
 GRAMS, SAMPLE = 1 << 14, 1500
@@ -32,6 +32,8 @@ GRAMS, SAMPLE = 1 << 14, 1500
 TEXT_GRAMS, MASS = 64, 20.0
 #: Posterior from which a row is accepted, and trigrams with a letter that it must have.
 ACCEPT, LEAST_GRAMS = 0.5, 1
+#: Copies of the rows of a table that is too large for a broadcast, for a hot key's sake.
+SALTS = 64
 
 SCORES = "key long, grams long, text array<double>"
 
@@ -132,6 +134,20 @@ def address(url: str) -> dict[str, str]:
     }
 
 
+def _row_key(kind: str, *columns: str) -> Column:
+    """A hash of a row in which a null differs from every value, whatever column it is in."""
+    return F.xxhash64(F.lit(kind), *[x for c in columns for x in (F.isnull(F.col(f"`{c}`")), F.col(f"`{c}`"))])
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, name: str) -> DataFrame:
+    """Left join of ``rows`` with a materialized ``table`` that has one row per ``name``, which may be hot or null."""
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), name, "left")
+    copies = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("key", "doc_id", "page_id", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    return salted.join(copies, [name, "salt"], "left").drop("salt")
+
+
 def evidence_of_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``key, doc_id, page_id, text, declared, host, domain, suffix`` of raw pages."""
     html = f"coalesce(`{html_col}`, '')"
@@ -139,7 +155,7 @@ def evidence_of_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     lang = F.expr(f"nullif(lower(regexp_extract({html}, '(?is)<html\\\\b[^>]*?\\\\slang\\\\s*=\\\\s*[\"'']?([A-Za-z]+)', 1)), '')")
     parts = address(f"`{url_col}`")
     return pages.select(
-        F.xxhash64(F.lit("page"), id_col, url_col, html_col).alias("key"),
+        _row_key("page", id_col, url_col, html_col).alias("key"),
         F.lit(None).cast("long").alias("doc_id"),
         F.col(id_col).cast("long").alias("page_id"),
         bare.alias("text"),
@@ -151,7 +167,7 @@ def evidence_of_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str
 def evidence_of_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The same of documents: their language column declares, their source is the host."""
     return documents.select(
-        F.xxhash64(F.lit("document"), id_col, text_col, lang_col, source_col).alias("key"),
+        _row_key("document", id_col, text_col, lang_col, source_col).alias("key"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.lit(None).cast("long").alias("page_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
@@ -202,16 +218,16 @@ def identify(evidence: DataFrame, model: tuple[list[str], np.ndarray], accept: f
     domains = smoothed(domains, [F.coalesce("above", fall)[i] for i in range(size)]).select("domain", F.col("prior").alias("above"))
     priors = hosts.where("host is not null").groupBy("host", "domain").agg(*add).join(domains, "domain", "left")
     priors = smoothed(priors, [F.coalesce("above", fall)[i] for i in range(size)]).select("host", "prior")
-    priors = small_or_not(materialize(priors, "priors"))
+    priors = materialize(priors, "priors")
 
     declared = counted.where("declared is not null").groupBy("declared").agg(*sums)
     declared = materialize(declared, "declared")
     of_language = [float(x or 0) for x in declared.agg(*add).first()] if not declared.isEmpty() else [0.0] * size
     kinds = max(1, declared.count())
     given = F.array(*[(F.col(c) + mass / kinds) / (of_language[i] + mass) for i, c in enumerate(names)])
-    declared = small_or_not(declared.select("declared", given.alias("given")))
+    declared = declared.select("declared", given.alias("given"))
 
-    joined = rows.join(priors, "host", "left").join(declared, "declared", "left")
+    joined = _looked_up(_looked_up(rows, priors, "host"), declared, "declared")
     ones = F.array(*[F.lit(1.0)] * size)
     joined = joined.withColumn("prior", F.coalesce("prior", fall)).withColumn("given", F.coalesce("given", ones))
     joined = joined.withColumn("w", F.expr("transform(sequence(0, size(text) - 1), i -> exp(text[i]) * prior[i] * given[i])"))
@@ -257,9 +273,10 @@ def accepted_documents(documents: DataFrame, **columns) -> DataFrame:
     evidence = evidence_of_documents(documents, **columns)
     with passing(documents.sparkSession):
         model = fit_documents(documents, **{k: v for k, v in columns.items() if k in ("text_col", "lang_col")})
-        bad = identify(evidence, model).where("not accepted").select("key").distinct()
+        bad = identify(evidence, model).where("not accepted").select(id_key().alias("doc"), "key").distinct()
         bad = small_or_not(materialize(bad, "rejected", lasting=True))
     own = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
     names = {"id_col": "doc_id", "text_col": "text", "lang_col": "lang", "source_col": "source"} | columns
-    key = F.xxhash64(F.lit("document"), names["id_col"], names["text_col"], names["lang_col"], names["source_col"])
-    return documents.select(own, key.alias("key")).join(bad, "key", "left_anti").select("row.*")
+    key = _row_key("document", *[names[c] for c in ("id_col", "text_col", "lang_col", "source_col")])
+    rows = documents.select(own, id_key(names["id_col"]).alias("doc"), key.alias("key"))
+    return rows.join(bad, ["doc", "key"], "left_anti").select("row.*")
