@@ -1,13 +1,15 @@
 """Inputs that an operator once read, found or kept apart only in part."""
 
 import random
+import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_llm import near_brute, rows_of, suffixes_brute, windows_brute
 
-from reportlake.llm import decontaminate, embedding_index, language_id, license_scan, minhash, mixing, secret_scan, shared, substring_dedup, suffix_family
+from reportlake.llm import decontaminate, embedding_index, kernels, language_id, license_scan, minhash, mixing, secret_scan, shared, substring_dedup, suffix_family
 from reportlake.operators import search
 
 
@@ -208,3 +210,137 @@ def test_vectors_of_any_label_and_width(spark):
     assert got[0] == (2, 0, True) and got[100] == (2, 0, False) and got[300] == (2, 0, False)
     assert all(got[i] == (1, i, True) and got[100 + i] == (1, i, False) for i in range(1, 20))
     assert all(got[i] == (0, i, True) for i in [*range(20, 40), *range(200, 210)])
+
+
+def fused_brute(rows, model, mass=language_id.MASS):
+    """Language and confidence of each row of evidence, by key."""
+    languages, table = model
+    ones = np.ones(len(languages))
+    texts = []
+    for r in rows:
+        low = [b + 32 if 65 <= b <= 90 else b for b in r.text.encode()]
+        low = [b if 97 <= b <= 122 or b >= 128 else 32 for b in low]
+        code = [low[i] << 16 | low[i + 1] << 8 | low[i + 2] for i in range(len(low) - 2) if any(b != 32 for b in low[i : i + 3])]
+        gram = (kernels.mix(np.array(code, dtype=np.uint64)) >> np.uint64(50)).astype(int) if code else []
+        score = sum((table[:, g] for g in gram), 0 * ones) * (min(len(code), language_id.TEXT_GRAMS) / max(len(code), 1))
+        score = np.exp(score - score.max())
+        texts.append((score, score / score.sum() if code else 0 * ones))
+    total = sum(p for _, p in texts) + 1
+    overall = total / total.sum()
+
+    def counted(name):
+        out = defaultdict(lambda: 0 * ones)
+        for r, (score, p) in zip(rows, texts, strict=True):
+            if r[name] is not None and p.any():
+                out[r[name]] = out[r[name]] + p
+        return out
+
+    above = {"suffix": defaultdict(lambda: overall)}
+    for name, upper in (("suffix", None), ("domain", "suffix"), ("host", "domain")):
+        parent = {r[name]: r[upper] for r in rows} if upper else {}
+        of = above[name] = defaultdict(lambda: overall)
+        for value, n in counted(name).items():
+            top = above[upper][parent[value]] if upper else overall
+            of[value] = (n + mass * top) / (n.sum() + mass)
+    said = counted("declared")
+    whole = sum(said.values(), 0 * ones)
+    out = {}
+    for r, (score, _) in zip(rows, texts, strict=True):
+        w = score * above["host"][r.host]
+        if r.declared in said:
+            w = w * (said[r.declared] + mass / len(said)) / (whole + mass)
+        out[r.key] = (languages[int(w.argmax())], w.max() / w.sum())
+    return out
+
+
+@pytest.mark.parametrize("limit", [50_000, 0])
+def test_evidence_is_fused_as_by_hand(spark, sf, monkeypatch, limit):
+    """The whole chain of priors; without room for a broadcast, by salted joins."""
+    monkeypatch.setattr(language_id, "BROADCAST_ROWS", limit)
+    documents = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    odd = [(900, None, None, "x"), (901, None, "x", None), (902, "12 34", "fr", None), (903, "le chat et la table", None, None), (903, "le chat et la table", None, None)]
+    odd = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string")
+    evidence = language_id.evidence_of_documents(documents.select(*odd.columns).unionByName(odd))
+    evidence = evidence.unionByName(language_id.evidence_of_pages(spark.read.parquet(f"{sf}/pages.parquet").limit(60)))
+    model = language_id.fit_documents(documents)
+    rows = evidence.collect()
+    want = fused_brute(rows, model)
+    got = language_id.identify(spark.createDataFrame(rows, evidence.schema), model).collect()
+    assert len(got) == len(rows) and len(want) == len(rows) - 1  # one row is there twice
+    for r in got:
+        language, confidence = want[r.key]
+        assert abs(r.confidence - confidence) < 1e-9 and (r.language == language or abs(confidence - 0.5) < 1e-9), r
+
+
+def test_nulls_in_different_columns_are_different_rows(spark):
+    """A rejected row without language stays apart from one of the same id and text without source."""
+    rows = spark.createDataFrame([(None, "x"), ("x", None)], "lang string, source string").selectExpr("1L as doc_id", "'12' as text", "lang", "source")
+    assert language_id.evidence_of_documents(rows).select("key").distinct().count() == 2
+
+
+def aligned_brute(text, template):
+    """Matched words of the best local alignment, without a band."""
+    best = (0, 0)
+    before = [(0, 0)] * (len(text) + 1)
+    for word in template:
+        now = [(0, 0)]
+        for j, other in enumerate(text, 1):
+            score, matched = before[j - 1]
+            ways = [(0, 0), (score + 2, matched + 1) if word == other else (score - 1, matched), (before[j][0] - 1, before[j][1]), (now[-1][0] - 1, now[-1][1])]
+            now.append(max(w if w[0] > 0 else (0, 0) for w in ways))
+        before, best = now, max(best, *now)
+    return best[1]
+
+
+def test_licenses_against_alignment_of_everything(spark):
+    """Every text against every template; edited notices, whole short ones; one answer for any partitioning."""
+    draw, split = random.Random(41), lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    texts = [prose(draw, 60) for _ in range(6)] + [None, "", "license"]
+    for name, template in license_scan.TEMPLATES.items():
+        words = template.split()
+        for k in range(3):
+            own = list(words)
+            if len(own) > 30:
+                for _ in range(2 * k):
+                    at = draw.randrange(14, len(own))
+                    own[at : at + 1] = [[], ["edited"], [own[at], "added"]][draw.randrange(3)]
+            texts.append(" ".join([prose(draw, draw.randrange(20)), *own, prose(draw, draw.randrange(20))]))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    answers = [rows_of(license_scan.scan(frame.repartition(n))) for n in (1, 4, 16)]
+    assert answers[0] == answers[1] == answers[2]
+    want = {}
+    for d, t in enumerate(texts):
+        for name, template in license_scan.TEMPLATES.items():
+            matched = aligned_brute(split(t or ""), split(template))
+            if matched >= license_scan.COVERAGE * len(split(template)):
+                want[d, name] = matched
+    got = defaultdict(int)
+    for d, name, _, matched, start, end in answers[0]:
+        got[d, name] = max(got[d, name], matched)
+        assert matched <= len(split(texts[d][start:end]))
+    assert dict(got) == want
+
+
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    """Nulls in any column, empty, long and repeated texts, rows without id: each stage keeps what it should."""
+    import corpus_pipeline
+
+    draw = random.Random(43)
+    item, base = prose(draw, 30, 10**6), prose(draw, 90)
+    rows = [(i, prose(draw, 60), draw.choice(["en", None]), draw.choice(["a", "b", None])) for i in range(40)]
+    rows += [(100, base, "en", "a"), (101, base, "en", "b"), (None, base, None, None), (None, prose(draw, 50), None, None), (102, None, "en", "a"), (103, "", None, None)]
+    rows += [(104, "12 34", "en", "a"), (105, prose(draw, 40) + " " + item, "en", "a"), (106, prose(draw, 20_000), "en", None), rows[0], rows[0]]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("tag", F.lit(1)).withColumn("row", F.lit("x"))
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, left = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = shared.materialize(stage(spark, docs, str(tmp_path)), "stage")
+        assert sorted(docs.columns) == sorted(documents.columns)
+        left.append(sorted((r.doc_id for r in docs.collect()), key=repr))
+    assert not {102, 103, 104} & set(left[0]) and len(left[0]) == len(rows) - 3
+    assert set(left[1]) == set(left[0]) - {101} and left[1].count(None) == 2
+    assert set(left[2]) == set(left[1]) - {105}
+    assert set(left[3]) <= set(left[2])
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r.slot for r in out) == list(range(len(out))) and {r.doc_id for r in out} <= set(left[2])
