@@ -42,7 +42,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of shuffle files whose plans nobody holds any more.
+    """Let go of what plans hold that nobody uses any more: broadcast tables, shuffle files of counts.
 
     Spark deletes them when the driver's JVM collects the plans; between two
     stages of one operator that would otherwise come much too late.
@@ -75,6 +75,24 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Spark's setting by which a finished execution deletes its own shuffle files.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """Write ``df`` as Parquet; its shuffle files go at once, not whenever the driver's JVM collects its plan."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            conf.unset(_CLEANUP)
+        else:
+            conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends here.
 
@@ -86,8 +104,8 @@ def materialize(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     scope = len(_passing) - 1 - lasting
     if scope >= 0:
         _passing[scope].append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    del df  # or its shuffle files would outlive this
+    write_table(df, path)
+    del df  # or what its plan holds would outlive this
     release(spark)
     return spark.read.schema(schema).parquet(path)
 

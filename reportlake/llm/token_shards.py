@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from reportlake.llm.kernels import U, mix, text_blocks
 from reportlake.llm.repeats import _cut, unpacked
-from reportlake.llm.shared import bucket_count, discard, documents_of, named_id, release, scratch_path
+from reportlake.llm.shared import bucket_count, discard, documents_of, named_id, release, scratch_path, write_table
 
 #: Default vocabulary: byte-level BPE ranks; the id after the last ends a text.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -217,7 +217,7 @@ def write_shards(
     docs = documents_of(documents, id_col, text_col).withColumn("at", F.monotonically_increasing_id())
     ranged = docs.repartitionByRange(bucket_count(documents, RANGE_MB), *order).sortWithinPartitions(*order)
     held = scratch_path(spark, "encoded")
-    ranged.select("doc", "text").mapInArrow(_encoded(shipped, length), PARTS).write.option("compression", "zstd").parquet(held)
+    write_table(ranged.select("doc", "text").mapInArrow(_encoded(shipped, length), PARTS), held)
     del docs, ranged
     release(spark)
     shipped.unpersist()
@@ -233,7 +233,7 @@ def write_shards(
     each = max(1, min(TASK_BYTES // (slots * length * width), -(-shards // int(spark.conf.get("spark.sql.shuffle.partitions")))))
     sent = parts.mapInArrow(_sent(base, max(count, 1), key, slots, each, width), SENT)
     made = sent.groupBy("target").applyInArrow(_shards(slots, length, width, end), SHARDS)
-    made.write.option("compression", "zstd").parquet(path)
+    write_table(made, path)
     release(spark)
     discard(spark, held)
     return spark.read.schema(SHARDS).parquet(path)
