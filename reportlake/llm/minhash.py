@@ -37,6 +37,8 @@ BANDS, ROWS = 48, 5
 STARS = 1
 #: Standard deviations by which a sketch may fall short of the similarity asked for; 5 lose 3 pairs in ten million.
 SHORT = 5.0
+#: Sets of one class of size differ by less than this factor.
+STEP = 1.05
 _SKETCHED = "doc long, tag long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"
 
 
@@ -207,8 +209,9 @@ def _rest(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     least, so the first shingle that they share has at most ``n - k`` before it in
     one and ``m - k`` in the other.  Copies of one text that were edited too much,
     or texts around one common passage, differ in just their rare shingles: they
-    share none so early, and no pair is formed.  Of a shingle's sets those of its
-    most frequent component are not compared with each other.
+    share none so early, and no pair is formed.  Sets meet by shingle and classes of
+    size, each set with as many shingles as a partner of the other class can need.
+    Of those that meet the most frequent component's are not compared with each other.
     """
     own = mixed.select("rep", "component").distinct().join(sets, "rep").select("rep", "tag", "component", F.size("set").alias("n"), F.explode("set").alias("token"))
     held = own.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
@@ -217,14 +220,23 @@ def _rest(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     early = f"n - cast(ceil({percent} * n / 100) as int) + 1"
     lists = lists.selectExpr("rep", "component", "n", "n - size(tokens) as alone", f"slice(tokens, 1, greatest(0, {early} - (n - size(tokens)))) as tokens")
     posted = lists.select("rep", "component", "n", "alone", F.posexplode("tokens").alias("i", "t"))
-    posted = materialize(posted.selectExpr("t.token as token", "rep", "component", "n", "alone + i as pos"), "posted")
-    cells = posted.groupBy("token", "component").agg(F.count("*").alias("m"))
-    most = cells.groupBy("token").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
-    some = materialize(posted.join(most.selectExpr("token", "top.component as most"), "token"), "shared")
-    minor = some.where("component <> most").selectExpr("token", "rep as a", "component as ca", "n as na", "pos as pa")
-    need = f"cast(ceil({percent} * (n + na) / {100 + percent}) as int)"
-    pairs = minor.join(some, "token").where(
-        f"component <> ca and (component = most or a < rep) and 100 * least(n, na) >= {percent} * greatest(n, na) and pos <= n - {need} and pa <= na - {need}"
+    posted = materialize(posted.selectExpr("t.token as token", "rep", "component", "n", f"cast(floor(ln(n) / ln({STEP})) as int) as size", "alone + i as pos"), "posted")
+    # How early depends on both sizes: a posting is aimed at those classes of size that its shingle has.
+    need = f"cast(ceil({percent} * (n + %s) / {100 + percent}) as int)"
+    held = posted.groupBy("token", F.col("size").alias("other")).agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("first"), F.max("component").alias("last")
+    )
+    aimed = posted.join(held, "token").where(
+        f"(first <> component or last <> component) and 100 * most >= {percent} * n and 100 * n >= {percent} * least and pos <= n - {need % 'least'}"
+    )
+    aimed = materialize(aimed.selectExpr("token", "size", "other", "least(size, other) as lo", "greatest(size, other) as hi", "rep", "component", "n", "pos"), "aimed")
+    cells = aimed.groupBy("token", "lo", "hi", "component").agg(F.count("*").alias("m"))
+    most = cells.groupBy("token", "lo", "hi").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+    some = aimed.join(most.selectExpr("token", "lo", "hi", "top.component as most"), ["token", "lo", "hi"])
+    some = materialize(some.select("token", "size", "other", "rep", "component", "n", "pos", "most"), "shared")
+    minor = some.where("component <> most").selectExpr("token", "size as other", "other as size", "rep as a", "component as ca", "n as na", "pos as pa")
+    pairs = minor.join(some, ["token", "size", "other"]).where(
+        f"component <> ca and (component = most or a < rep) and 100 * least(n, na) >= {percent} * greatest(n, na) and pos <= n - {need % 'na'} and pa <= na - {need % 'na'}"
     )
     return pairs.select(F.least("rep", "a").alias("a"), F.greatest("rep", "a").alias("b")).distinct()
 
@@ -284,8 +296,7 @@ def near_duplicates(
         near = materialize(near, "near")
         more = materialize(_verified(near, sets, similarity), "links")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
+            labels = components(more, labels)
     named = classes.select("d1", "d2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     joined = sketched.join(named, ["d1", "d2"], "left")

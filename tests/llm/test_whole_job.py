@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_llm import near_brute, rows_of, suffixes_brute, windows_brute
 
-from reportlake.llm import decontaminate, embedding_index, kernels, language_id, license_scan, minhash, mixing, secret_scan, shared, substring_dedup, suffix_family
+from reportlake.llm import decontaminate, embedding_index, graph, kernels, language_id, license_scan, minhash, mixing, secret_scan, shared, substring_dedup, suffix_family
 from reportlake.operators import search
 
 
@@ -129,6 +129,77 @@ def test_texts_around_a_common_passage(spark):
     assert rows_of(minhash.mark(frame)) == near_brute(rows)
 
 
+def test_components_carried_on(spark, monkeypatch):
+    """Components equal union-find; links inside a component are not joined again, neither in later rounds nor by later calls."""
+    draw = random.Random(4)
+    ladder = [x for k in range(40) for x in ((2000 + k, 3000 + k), (2001 + k, 3000 + k))]  # a path, small and large by turns
+    star = [(k, 1500) for k in range(1000, 1400)]  # its centre is the largest
+    path = [(4000 + k, 4001 + k) for k in range(60)]
+    first = star + ladder + path + [(draw.randrange(900), draw.randrange(900)) for _ in range(500)] + [(7, 7), (9, 8), (8, 9)]
+    later = [(1399, 3005), (4060, 5), (6000, 6001), (1000, 1001), (6002, 4030)]
+
+    def want(links):
+        name = {x: x for a, b in links if a != b for x in (a, b)}
+
+        def find(x):
+            while name[x] != x:
+                x = name[x]
+            return x
+
+        for a, b in links:
+            if a != b:
+                x, y = sorted((find(a), find(b)))
+                name[y] = x
+        return {x: find(x) for x in name}
+
+    written, write = [], graph.materialize
+
+    def noted(df, name, *options):
+        out = write(df, name, *options)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(graph, "materialize", noted)
+    table = lambda links: spark.createDataFrame(links, "a long, b long")
+    labels = graph.components(table(first))
+    assert {r.node: r.component for r in labels.collect()} == want(first)
+    assert sum(n for name, n in written if name == "links") < 1.7 * len(first)
+    written.clear()
+    labels = graph.components(table(later), labels)
+    rows = labels.collect()
+    assert {r.node: r.component for r in rows} == want(first + later) and len(rows) == len(want(first + later))
+    assert sum(n for name, n in written if name in ("links", "up")) < 20
+
+
+def test_copies_edited_too_much_do_not_meet(spark, monkeypatch):
+    """Around a large group, copies that no text of their size can be linked with are not compared with its members."""
+    draw = random.Random(31)
+    base = prose(draw, 144, 10**6).split()
+    rows = []
+    for k in range(240):  # two thirds with one edit, linked; a third with six, 30 of 140 shingles, linked with nothing
+        words = list(base)
+        for at in draw.sample(range(4, 139), 1) if k % 3 else [5 + 25 * i + draw.randrange(8) for i in range(6)]:
+            words[at] = f"edit{draw.randrange(10**9)}"
+        rows.append((k, " ".join(words)))
+    rows += [(240, " ".join(base[:112])), (241, " ".join(base[:111] + ["end"])), (242, " ".join(base[:100]))]  # of other sizes, the first two linked with the base's copies or each other
+    met, write = [], minhash.materialize
+
+    def noted(df, name, *options, **named):
+        out = write(df, name, *options, **named)
+        if name == "shared":
+            sides = ["token", *({"size", "other"} & set(out.columns))]
+            held = out.groupBy(*sides).agg(F.count("*").alias("f"), F.sum((F.col("component") != F.col("most")).cast("long")).alias("m"))
+            met.append(held.agg(F.sum(F.col("f") * F.col("m"))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", noted)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    brute = near_brute(rows)
+    assert rows_of(minhash.mark(frame)) == brute
+    assert sum(met) < 40 * len(rows)
+    assert sorted(r.doc_id for r in minhash.deduplicated(frame).collect()) == sorted(d for d, _, _, kept in brute if kept)
+
+
 @pytest.mark.parametrize("edit", ["replace", "drop", "insert"])
 def test_paraphrased_items(spark, sf, edit):
     """Items with 30 % of their words edited, in texts of other words: recall 0.9, nothing else reported."""
